@@ -35,7 +35,7 @@ def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     return heavy_groups(found, pairs.count()).select(*KEYS)
 
 
-def _reviews(spark: SparkSession, folder: str, batches: int = 2) -> DataFrame:
+def present_reviews(spark: SparkSession, folder: str, batches: int = 2) -> DataFrame:
     """The present review table: the log applied to an empty table in `batches` runs of line numbers."""
     changes = review_changes(table(spark, folder, "registro_revision_visual"))
     current = BucketedTable(spark, new_path(spark, "reviews"), ["reviewer_id", "reference_id"])
@@ -49,7 +49,7 @@ def _reviews(spark: SparkSession, folder: str, batches: int = 2) -> DataFrame:
 
 def p4_current_reviews(spark: SparkSession, folder: str) -> DataFrame:
     """Every present row with the whole of its answers."""
-    return _reviews(spark, folder).select(
+    return present_reviews(spark, folder).select(
         "reviewer_id", "reference_id", "revision", "final_status", "actor_identity",
         F.array_join("failure_reasons", "|").alias("failure_reasons"),
     )
@@ -57,7 +57,7 @@ def p4_current_reviews(spark: SparkSession, folder: str) -> DataFrame:
 
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     """Every present row."""
-    return _reviews(spark, folder).select("reviewer_id", "reference_id", "revision", "final_status")
+    return present_reviews(spark, folder).select("reviewer_id", "reference_id", "revision", "final_status")
 
 
 QUERIES = {
