@@ -29,6 +29,12 @@ def _sum(columns: list[Column]) -> Column:
     return reduce(lambda a, b: a + b, columns)
 
 
+def _shares(odds: list[Column]) -> list[Column]:
+    """Log-odds of the classes, each against the rest, as probabilities that sum to one."""
+    top = F.greatest(*odds) if len(odds) > 1 else odds[0]
+    return [F.exp(o - top) / _sum([F.exp(x - top) for x in odds]) for o in odds]
+
+
 def _to_items(edges: DataFrame, classes: list[str]) -> DataFrame:
     """`edges` with `w{c}`, the annotator's log-odds for class c by its label here, from its other edges."""
     k = range(len(classes))
@@ -36,14 +42,16 @@ def _to_items(edges: DataFrame, classes: list[str]) -> DataFrame:
     sums = [F.sum(F.col(f"m{c}") * is_[x]).alias(f"a{c}_{x}") for c in k for x in k]
     sums += [F.sum((1 - F.col(f"m{c}")) * is_[x]).alias(f"b{c}_{x}") for c in k for x in k]
     by = edges.groupBy("annotator").agg(F.count("*").alias("n"), *sums)
-    total = edges.agg(*sums).first()
-    for c in k:
-        for side in "ab":
-            whole = sum((total[f"{side}{c}_{x}"] or 0) + 1.0 for x in k)
-            for x in k:
-                by = by.withColumn(f"p{side}{c}_{x}", F.lit(((total[f"{side}{c}_{x}"] or 0) + 1.0) / whole))
     by = written(by, "annotators")
-    if by.count() <= BROADCAST_ANNOTATORS:
+    names = [f"{side}{c}_{x}" for side in "ab" for c in k for x in k]
+    total = by.agg(F.count("*").alias("annotators"), *[F.sum(n).alias(n) for n in names]).first()
+    priors = {}
+    for side in "ab":
+        for c in k:
+            whole = sum((total[f"{side}{c}_{x}"] or 0) + 1.0 for x in k)
+            priors |= {f"p{side}{c}_{x}": F.lit(((total[f"{side}{c}_{x}"] or 0) + 1.0) / whole) for x in k}
+    by = by.withColumns(priors)
+    if total["annotators"] <= BROADCAST_ANNOTATORS:
         met = edges.join(F.broadcast(by), "annotator")
     else:
         salted = by.withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
@@ -94,12 +102,11 @@ def consensus(labels: DataFrame, item: str, annotator: str, label: str, classes:
         prior = [log((x := min(max(mean[f"m{c}"] or 0.5, 1e-4), 1 - 1e-4)) / (1 - x)) for c in k]
         weighed = _to_items(state, classes)
         scores = _scores(weighed, classes, prior)
-        other = [1 / (1 + F.exp(F.lit(-1.0) * F.greatest(F.lit(-30.0), F.least(F.lit(30.0), F.col(f"s{c}") - F.col(f"w{c}"))))) for c in k]
-        moved = F.greatest(*[F.abs(F.col(f"m{c}") - F.col(f"o{c}")) for c in k])
-        fresh = weighed.join(scores, "item").select(
-            "item", "annotator", "label", *[((other[c] + F.col(f"m{c}")) / 2).alias(f"m{c}") for c in k], *[F.col(f"m{c}").alias(f"o{c}") for c in k]
-        )
-        after = written(fresh.withColumn("moved", moved).drop(*[f"o{c}" for c in k]), "messages")
+        fresh = weighed.join(scores, "item")
+        other = _shares([F.col(f"s{c}") - F.col(f"w{c}") for c in k])
+        moved = F.greatest(*[F.abs(other[c] - F.col(f"m{c}")) for c in k])
+        fresh = fresh.select("item", "annotator", "label", *[other[c].alias(f"m{c}") for c in k], moved.alias("moved"))
+        after = written(fresh, "messages")
         far = after.agg(F.max("moved")).first()[0]
         state = after.drop("moved")
         if far is None or far <= STILL:
@@ -108,9 +115,7 @@ def consensus(labels: DataFrame, item: str, annotator: str, label: str, classes:
     mean = state.agg(*[F.avg(f"m{c}").alias(f"m{c}") for c in k]).first()
     prior = [log((x := min(max(mean[f"m{c}"] or 0.5, 1e-4), 1 - 1e-4)) / (1 - x)) for c in k]
     scores = _scores(weighed, classes, prior)
-    # the classes' odds against the rest, as probabilities that sum to one
-    odds = [F.exp(F.greatest(F.lit(-50.0), F.least(F.lit(50.0), F.col(f"s{c}")))) for c in k]
-    p = [(odds[c] / _sum(odds)).alias(f"p{c}") for c in k]
+    p = [x.alias(f"p{c}") for c, x in enumerate(_shares([F.col(f"s{c}") for c in k]))]
     best = F.element_at(F.array(*map(F.lit, classes)), F.array_position(F.array(*[F.col(f"p{c}") for c in k]), F.greatest(*[F.col(f"p{c}") for c in k])).cast("int"))
     agree = _sum([F.col(f"v{x}") * (F.col(f"v{x}") - 1) for x in k])
     chosen = written(scores.select("item", "n_labels", *p), "posterior").join(tally, "item")
