@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from kinespan.functions.labels import action_key, age_key, whole_number_key
 from kinespan.llm import consensus as agreeing
-from kinespan.llm import mixing, quantiles, splits, tokens
+from kinespan.llm import languages, mixing, quantiles, splits, tokens
 from kinespan.plans.problems import SQL as CORE_SQL
 from kinespan.plans.problems import action_sql, present_reviews
 from kinespan.sources.tables import table
@@ -153,11 +153,36 @@ def p7_shares(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.reached_shares(mixing.draw(sized, budget), budget)
 
 
+# ---- 8: languages
+
+
+def _inferred(spark: SparkSession, folder: str) -> DataFrame:
+    documents = _documents(spark, folder)
+    return languages.languages_of(documents, ["doc_id", "lang"], "text", languages.fitted_model(documents))
+
+
+def p8_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Languages in which a document has enough prose and which its label does not name."""
+    each = _inferred(spark, folder).select("doc_id", "lang", F.explode("languages").alias("l")).where(F.col("l.n_words") >= languages.LEAST_WORDS)
+    unnamed = ~F.array_contains(languages.named_languages(F.col("lang")), F.col("l.lang"))
+    return each.where(unnamed).select("doc_id", F.col("l.lang").alias("lang"))
+
+
+def p8_documents(spark: SparkSession, folder: str) -> DataFrame:
+    """The main language of every document and how sure it is."""
+    return languages.main_language(_inferred(spark, folder)).drop("lang")
+
+
+def p8_segments(spark: SparkSession, folder: str) -> DataFrame:
+    """Every stretch of prose with its language."""
+    return _inferred(spark, folder).select("doc_id", F.explode("segments").alias("s")).select("doc_id", "s.*")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         p1_found, p1_assignment, p3_action_percentiles, p3_percentiles_by_day, p5_found, p5_items, p5_reviewers, p5_agreement,
-        p6_ids, p6_round_trip, p7_found, p7_mixture, p7_shares,
+        p6_ids, p6_round_trip, p7_found, p7_mixture, p7_shares, p8_found, p8_documents, p8_segments,
     )
 }
 
