@@ -40,3 +40,40 @@ def whole_number_key(c: Column) -> Column:
     scientific = F.when(text.rlike(r"^\+?(\d+\.?\d*|\.\d+)[eE][+-]?\d{1,2}$"), text.try_cast("decimal(38,12)"))
     whole = F.when((scientific > 0) & (scientific == F.floor(scientific)), F.floor(scientific).cast("string"))
     return F.when(digits != "", digits).otherwise(whole)
+
+
+def child_or_unknown(child: Column, segment: Column) -> Column:
+    """A child's id for grouping: integral numbers as integers, other texts trimmed, `desconocido::segment` for missing ones.
+
+    `7.0` and `007` are `7`, `1e3` is `1000`, `x7` stays `x7`.
+    """
+    text = F.trim(child)
+    number = text.try_cast("double")
+    whole = number.isNotNull() & ~F.isnan(number) & (F.abs(number) < F.lit(9e15)) & (number == F.floor(number))
+    return (
+        F.when(text.isNull() | (text == ""), F.concat(F.lit("desconocido::"), segment))
+        .when(whole, number.cast("long").cast("string"))
+        .otherwise(text)
+    )
+
+
+def child_text(child: Column) -> Column:
+    """A child's id as written, without outer blanks and one trailing `.0`; null for missing ones. `007` stays `007`."""
+    text = F.regexp_replace(F.trim(child), r"\.0$", "")
+    return F.when(text != "", text)
+
+
+def references_for(n_children: Column) -> Column:
+    """How many references a group of so many children gets: 1, from 5 on 2, from 10 on 3, from 20 on 4."""
+    return F.when(n_children < 5, 1).when(n_children < 10, 2).when(n_children < 20, 3).otherwise(4)
+
+
+def age_start(label: Column) -> Column:
+    """The first month of `36_47mo`; null for any other form of label."""
+    return F.regexp_extract(F.coalesce(label, F.lit("")), r"^\s*(\d{1,6})_(\d{1,6})mo\s*$", 1).try_cast("int")
+
+
+def split_pipe(c: Column) -> Column:
+    """The non-blank items of `a|b|c`, trimmed; an empty array for null."""
+    items = F.transform(F.split(F.coalesce(c, F.lit("")), r"\|"), lambda x: F.trim(x))
+    return F.filter(items, lambda x: x != "")
