@@ -80,9 +80,8 @@ def with_states(plan: DataFrame, distances: DataFrame, sequences: DataFrame, sup
     met = met.join(known.select("segment_id", F.lit(True).alias("_a")), "segment_id", "left")
     met = met.join(known.select(F.col("segment_id").alias("reference_id"), F.lit(True).alias("_b")), "reference_id", "left")
     state = F.when(F.col("distance").isNotNull(), "calculada").when(F.col("_a").isNull() | F.col("_b").isNull(), "sin_secuencia").otherwise("sin_camino_admisible")
-    return met.drop("_a", "_b").withColumns({
-        "state": state, "metric_version": F.lit(METRIC_VERSION), "conditioning_version": F.lit(CONDITIONING_VERSION), "support": F.lit(support),
-    })
+    stamped = {"state": state, "metric_version": F.lit(METRIC_VERSION), "conditioning_version": F.lit(CONDITIONING_VERSION), "support": F.lit(support)}
+    return met.withColumns(stamped).drop("_a", "_b")
 
 
 def separation_controls(training: DataFrame, validation: DataFrame, catalog: DataFrame, plan: DataFrame, result: DataFrame) -> DataFrame:

@@ -65,7 +65,7 @@ def diverse_references(pairs: DataFrame, children: DataFrame, groups: list[str],
     How many are asked for depends on the group's children. In each round the candidates are segments
     of children not chosen yet; those whose least distance to the chosen is at least the group's 25th
     percentile of distances come first, else the 20th's, else the 10th's; of these the most central is
-    taken. A group ends when no candidate is left. Columns: `groups`, `segment_id`, `rank`, `child`,
+    taken. A group ends when no candidate is left. Distances and means are compared at 9 decimals. Columns: `groups`, `segment_id`, `rank`, `child`,
     `mean_distance`, `k_requested`, `threshold_used`, `n_group_clips`, `n_group_children`.
     """
     pairs = written(pairs, "pairs")
@@ -91,7 +91,7 @@ def diverse_references(pairs: DataFrame, children: DataFrame, groups: list[str],
         level = F.lit(None).cast("string")
         step = F.lit(None).cast("int")
         for i, (name, share) in reversed(list(enumerate(DIVERSITY))):
-            far = F.col("away") >= F.col(f"q{round(share * 100)}")
+            far = F.round("away", 9) >= F.round(f"q{round(share * 100)}", 9)
             level, step = F.when(far, name).otherwise(level), F.when(far, i).otherwise(step)
         best = met.withColumn("_step", step).withColumn("_name", level).where("_step IS NOT NULL")
         best = best.groupBy(*groups).agg(F.min(F.struct("_step", order.alias("o"), "_name")).alias("p"))
