@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinespan.operators import conditioning, dtw
+from kinespan.operators import comparison, conditioning, dtw
 from kinespan.plans.views import MOTION_SQL, POSE_HIPS, POSE_SQL, POSE_TORSO, motion, pose
+from kinespan.workspace import written
 
 
 def _filled(spark: SparkSession, folder: str) -> DataFrame:
@@ -106,6 +107,21 @@ def dtw_path_steps(spark: SparkSession, folder: str) -> DataFrame:
     return met.select("segment_id", "reference_id", F.posexplode("path").alias("step", "s")).select("segment_id", "reference_id", "step", "s.i", "s.j", F.round("s.cost", 6).alias("cost"))
 
 
+def motion_comparisons(spark: SparkSession, folder: str) -> DataFrame:
+    """Validation sequences against the two first training sequences of their own and the neighbouring age groups, with states."""
+    rows = written(motion(spark, folder), "motion")
+    training = rows.where("is_training")
+    lists = training.groupBy("action", "age").agg(F.slice(F.array_sort(F.collect_set("segment_id")), 1, 2).alias("s"))
+    catalog = lists.select("action", "age", F.posexplode("s").alias("p", "segment_id")).join(training.select("segment_id", "child"), "segment_id")
+    catalog = catalog.select("action", "age", "segment_id", "child", (F.col("p") + 1).alias("rank"), (F.col("p") == 0).alias("is_primary"))
+    plan = written(comparison.planned(comparison.requests(rows.where("NOT is_training"), catalog, rows), catalog), "plan")
+    pairs = plan.select("segment_id", "reference_id").distinct().repartition(32, "segment_id", "reference_id")
+    met = pairs.join(rows.select("segment_id", F.col("frames").alias("a")), "segment_id").join(rows.select(F.col("segment_id").alias("reference_id"), F.col("frames").alias("b")), "reference_id")
+    distances = met.select("segment_id", "reference_id", dtw.dtw_distance()("a", "b").alias("distance"))
+    found = comparison.with_states(plan, distances, rows)
+    return found.select("segment_id", "reference_id", "age_offset", "is_primary", F.round("distance", 6).alias("distance"), "state")
+
+
 def pair_index(spark: SparkSession, folder: str) -> DataFrame:
     """Clips and pairs of every training group."""
     return dtw.pair_counts(_training(spark, folder), ["action", "age"])
@@ -115,7 +131,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         validity_mask, gap_interpolation, root_origin, torso_scale, normalize_pose, conditioning_diagnostics, conditioning_summary, packed_sequences,
-        sequence_violations, local_cost, dtw_distance, dtw_expression_form, dtw_path_steps, pair_index,
+        sequence_violations, local_cost, dtw_distance, dtw_expression_form, dtw_path_steps, motion_comparisons, pair_index,
     )
 }
 
@@ -151,6 +167,10 @@ _TRAIN_PAIRS = f"""SELECT a.action, a.age, a.segment_id AS segment_id_a, b.segme
 _FIRST = f"SELECT action, age, arg_min(segment_id, segment_id) AS reference_id, arg_min(frames, segment_id) AS rf FROM ({MOTION_SQL}) WHERE is_training GROUP BY action, age"
 _CASE_PAIRS = f"SELECT c.segment_id, f.reference_id, c.frames AS fa, f.rf AS fb FROM ({MOTION_SQL}) c JOIN ({_FIRST}) f USING (action, age) WHERE NOT c.is_training"
 
+_PLANNED = f"""SELECT c.segment_id, r.segment_id AS reference_id, o.age_offset, r.nr = 1 AS is_primary, c.frames AS fa, r.frames AS fb FROM ({MOTION_SQL}) c, (VALUES (-1), (0), (1)) o(age_offset),
+ (SELECT *, row_number() OVER (PARTITION BY action, age ORDER BY segment_id) AS nr FROM ({MOTION_SQL}) WHERE is_training) r
+ WHERE NOT c.is_training AND r.action = c.action AND r.nr <= 2 AND CAST(r.age[:2] AS INT) = CAST(c.age[:2] AS INT) + 12 * o.age_offset"""
+
 
 def dtw_sql(pairs: str, keys: str) -> str:
     """The head of a DuckDB query whose `e` has `keys` and the distance `v` (infinite for abstentions) of `pairs` (`fa`, `fb`)."""
@@ -176,5 +196,7 @@ SQL = {
     "dtw_distance": f"""{dtw_sql(_TRAIN_PAIRS, 'action, age, segment_id_a, segment_id_b')} SELECT action, age, segment_id_a, segment_id_b, CASE WHEN isfinite(v) THEN round(v, 6) END AS distance,
  CASE WHEN isfinite(v) THEN 'calculada' ELSE 'sin_camino_admisible' END AS state FROM e""",
     "dtw_expression_form": f"{dtw_sql(_CASE_PAIRS, 'segment_id, reference_id')} SELECT segment_id, reference_id, CASE WHEN isfinite(v) THEN round(v, 6) END AS distance FROM e",
+    "motion_comparisons": f"""{dtw_sql(_PLANNED, 'segment_id, reference_id, age_offset, is_primary')} SELECT segment_id, reference_id, age_offset, is_primary, CASE WHEN isfinite(v) THEN round(v, 6) END AS distance,
+ CASE WHEN isfinite(v) THEN 'calculada' ELSE 'sin_camino_admisible' END AS state FROM e""",
     "pair_index": f"SELECT action, age, count(*) AS n_clips, count(*) * (count(*) - 1) // 2 AS n_pairs FROM ({MOTION_SQL}) WHERE is_training GROUP BY action, age",
 }
