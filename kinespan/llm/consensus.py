@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kinespan.workspace import written
+from kinespan.workspace import discard, written
 
 #: Annotator tables of at most this many rows are broadcast; larger ones are joined with salted edges.
 BROADCAST_ANNOTATORS = 20_000
@@ -48,8 +48,9 @@ def _to_items(edges: DataFrame, classes: list[str]) -> DataFrame:
     priors = {}
     for side in "ab":
         for c in k:
-            whole = sum((total[f"{side}{c}_{x}"] or 0) + 1.0 for x in k)
-            priors |= {f"p{side}{c}_{x}": F.lit(((total[f"{side}{c}_{x}"] or 0) + 1.0) / whole) for x in k}
+            # one label of each kind beforehand, three where label and class agree
+            sizes = [(total[f"{side}{c}_{x}"] or 0) + (3.0 if side == "a" and x == c else 1.0) for x in k]
+            priors |= {f"p{side}{c}_{x}": F.lit(sizes[x] / sum(sizes)) for x in k}
     by = by.withColumns(priors)
     if total["annotators"] <= BROADCAST_ANNOTATORS:
         met = edges.join(F.broadcast(by), "annotator")
@@ -108,7 +109,8 @@ def consensus(labels: DataFrame, item: str, annotator: str, label: str, classes:
         fresh = fresh.select("item", "annotator", "label", *[other[c].alias(f"m{c}") for c in k], moved.alias("moved"))
         after = written(fresh, "messages")
         far = after.agg(F.max("moved")).first()[0]
-        state = after.drop("moved")
+        discard(state)
+        state = after
         if far is None or far <= STILL:
             break
     weighed = written(_to_items(state, classes), "weighed")

@@ -258,11 +258,11 @@ def languages_of(documents: DataFrame, key: list[str], text: str = "text", model
 
     Offsets of stretches count code points and are those of whole lines or, within a block of lines,
     proportional to the sentence's place. A document without prose, with an empty or a null text, or
-    without a model, has no languages. Repeated rows come out repeated; an empty table gives no rows.
+    without a model, has no languages. Columns of `key` named like a result are replaced by it. Repeated rows come out repeated; an empty table gives no rows.
     """
     rows = documents.select(F.struct(*[F.col(f"`{c}`") for c in key]).alias("_key"), F.col(f"`{text}`").cast("string").alias("_text"))
     kind = rows.schema["_key"].dataType.simpleString()
-    return rows.mapInPandas(_infer(model), f"_key {kind}, {RESULT}").select("_key.*", "n_words", "languages", "segments")
+    return rows.mapInPandas(_infer(model), f"_key {kind}, {RESULT}").select(*[F.col(f"_key.`{c}`") for c in key if c not in ("n_words", "languages", "segments")], "n_words", "languages", "segments")
 
 
 def main_language(found: DataFrame) -> DataFrame:

@@ -110,14 +110,15 @@ def token_ids(documents: DataFrame, text: str = "text", key: list[str] | None =
     """The columns `key` (default: all others) and `ids`, a list of ints, for every row.
 
     Null and empty texts have an empty list. Repeated rows come out repeated; an empty table gives
-    none. Other columns, whatever their names, pass through untouched when they are in `key`.
+    none. Other columns, whatever their names, pass through untouched when they are in `key`; one named
+    like the result is replaced by it.
     """
     spark = documents.sparkSession
     key = [c for c in documents.columns if c != text] if key is None else key
     rows = documents.select(F.struct(*[F.col(f"`{c}`") for c in key]).alias("_key"), F.col(f"`{text}`").cast("string").alias("_text"))
     kind = rows.schema["_key"].dataType.simpleString()
     found = rows.mapInArrow(_over_texts(rank_file(spark, ranks), _ids), f"_key {kind}, _ids array<int>")
-    return found.select("_key.*", F.col("_ids").alias("ids"))
+    return found.select(*[F.col(f"_key.`{c}`") for c in key if c != "ids"], F.col("_ids").alias("ids"))
 
 
 def token_counts(documents: DataFrame, text: str = "text", key: list[str] | None = None, ranks: str | None = None, n: str = "n_tokens") -> DataFrame:
@@ -127,7 +128,7 @@ def token_counts(documents: DataFrame, text: str = "text", key: list[str] | None
     rows = documents.select(F.struct(*[F.col(f"`{c}`") for c in key]).alias("_key"), F.col(f"`{text}`").cast("string").alias("_text"))
     kind = rows.schema["_key"].dataType.simpleString()
     found = rows.mapInArrow(_over_texts(rank_file(spark, ranks), _counts), f"_key {kind}, _n bigint")
-    return found.select("_key.*", F.col("_n").alias(n))
+    return found.select(*[F.col(f"_key.`{c}`") for c in key if c != n], F.col("_n").alias(n))
 
 
 def texts_of(spark: SparkSession, ids: Column, ranks: str | None = None) -> Column:
