@@ -135,7 +135,11 @@ def dense_group_statistics(df: DataFrame, keys: list[str], value: str, members:
     Two scans: the dictionary of keys, then the accumulators. What is shuffled is one array block
     per split and touched block, and one bit row per member and 64 keys.
     """
-    rows = df.select(*[F.col(k) for k in keys], F.col(value).cast("double").alias("_value"), *[F.col(m).cast("string").alias(f"_m{i}") for i, m in enumerate(members)])
+    clash = {"n_rows", "n_members", "n_usable", "min_value", "mean_value"} & set(keys)
+    if clash:
+        raise ValueError(f"keys must not be named {sorted(clash)}")
+    named, keys = keys, [f"_g{i}" for i in range(len(keys))]
+    rows = df.select(*[F.col(f"`{k}`").alias(g) for k, g in zip(named, keys)], F.col(f"`{value}`").cast("double").alias("_value"), *[F.col(f"`{m}`").cast("string").alias(f"_m{i}") for i, m in enumerate(members)])
     names = [f"_m{i}" for i in range(len(members))]
     dictionary, n_keys = dense_codes(rows.select(*keys))
     coded = encoded(rows, keys, dictionary, n_keys, ["_value", *names])
@@ -169,7 +173,7 @@ def dense_group_statistics(df: DataFrame, keys: list[str], value: str, members:
         dictionary.join(values, "code")
         .join(counts, "code", "left")
         .select(
-            *keys,
+            *[F.col(g).alias(k) for k, g in zip(named, keys)],
             "n_rows",
             F.coalesce("n_members", F.lit(0)).cast("long").alias("n_members"),
             "n_usable",

@@ -36,7 +36,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """`df` as a table in the shared folder: computed once, readable after the loss of executors."""
     path = new_path(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    found = df.sparkSession.read.schema(df.schema).parquet(path)
+    found._written_at = path
+    return found
+
+
+def discard(df: DataFrame) -> None:
+    """Deletes the table behind a result of `written` that nothing reads any more, such as the last round's state."""
+    path = getattr(df, "_written_at", None)
+    if path:
+        delete(df.sparkSession, path)
 
 
 def delete(spark: SparkSession, path: str) -> None:
