@@ -167,7 +167,7 @@ def pair_distances(sequences: DataFrame, groups: list[str], support: float = SUP
     a = sequences.select(*groups, F.col("segment_id").alias("segment_id_a"), F.col("frames").alias("fa"))
     b = sequences.select(*groups, F.col("segment_id").alias("segment_id_b"), F.col("frames").alias("fb"))
     ids = a.drop("fa").join(b.drop("fb"), groups).where("segment_id_a < segment_id_b").repartition(slices, "segment_id_a", "segment_id_b")
-    met = ids.join(a.select("segment_id_a", "fa"), "segment_id_a").join(b.select("segment_id_b", "fb"), "segment_id_b")
+    met = ids.join(a, [*groups, "segment_id_a"]).join(b, [*groups, "segment_id_b"])
     return met.select(*groups, "segment_id_a", "segment_id_b", dtw_distance(support)("fa", "fb").alias("distance"))
 
 
