@@ -96,6 +96,14 @@ def partners(found: DataFrame, keys: list[str], what: str = "ids") -> DataFrame:
     return found.withColumn("partner", F.when(~alone, F.coalesce(F.lead(what).over(w), F.first(what).over(whole))))
 
 
+def partner_geometry(found: DataFrame, distances: DataFrame, keys: list[str], k: int) -> DataFrame:
+    """How far each trial's set of `k` templates lies from its partner's, all children of the group being known: `templates.set_geometry` by trial."""
+    at = [*keys, "scheme", "repetition", "n_children", "k"]
+    met = partners(found.where(F.col("k") == k), keys).where("partner IS NOT NULL")
+    side = lambda c: met.select(*at, F.posexplode(c).alias("slot", "candidate"))
+    return T.set_geometry(side("ids"), side("partner"), distances, at, k, keys)
+
+
 def paired_gains(found: DataFrame, keys: list[str], loss: str = "holdout_loss") -> DataFrame:
     """Trials with `reduction_vs_k1`, `gain_vs_previous_k` (relative) and `gain_per_child` over the next smaller size."""
     by_k = Window.partitionBy(*keys, "scheme", "repetition", "n_children").orderBy("k")

@@ -201,3 +201,30 @@ def permutation_test(labels: DataFrame, keys: list[str], left: str, right: str,
     strong = each.where("_p > 0").join(own, keys).groupBy(*keys, "effect").agg(((F.count_if(F.col("nmi") >= F.col("effect") - 1e-12) + 1) / F.lit(permutations + 1)).alias("p_value"))
     several = rows.groupBy(*keys).agg((F.count_distinct(left) > 1).alias("_several"))
     return strong.join(several, keys).select(*keys, F.when(F.col("_several"), F.col("effect")).otherwise(0.0).alias("effect"), F.when(F.col("_several"), F.col("p_value")).otherwise(1.0).alias("p_value"))
+
+
+def confounders(assigned: DataFrame, covariates: DataFrame, keys: list[str], categories: list[str], numbers: list[str], permutations: int = 200, effect: float = 0.5, p: float = 0.05) -> DataFrame:
+    """Per group and covariate `effect`, `p_value`, `dominant`: does it go with the children's templates?
+
+    Categories by normalized mutual information with its permutation test, `dominant` if the effect is at
+    least `effect` and p at most `p`. Numbers by the share of variation between templates, without a test and
+    never dominant. Children without the covariate do not count; all covariates are worked on in one job each kind.
+    """
+    met = assigned.select(*keys, "child", F.col("slot").cast("string").alias("slot")).join(covariates, [*keys, "child"])
+    texts = met.unpivot([*keys, "child", "slot"], [F.col(c).cast("string").alias(c) for c in categories], "variable", "v").where("v IS NOT NULL AND v <> '<missing>'")
+    tested = permutation_test(texts, [*keys, "variable"], "v", "slot", "child", permutations)
+    values = met.unpivot([*keys, "child", "slot"], [F.col(c).cast("double").alias(c) for c in numbers], "variable", "v").where("v IS NOT NULL")
+    shares = eta_squared(values, [*keys, "variable"], "slot", "v").select(*keys, "variable", F.col("eta_squared").alias("effect"), F.lit(None).cast("double").alias("p_value"))
+    found = tested.unionByName(shares)
+    return found.withColumn("dominant", F.coalesce((F.col("effect") >= effect) & (F.col("p_value") <= p), F.lit(False)))
+
+
+def stability_bands(curve: DataFrame, selected: DataFrame, keys: list[str], numbers: list[str], left_out: list[str], age: str = "age") -> DataFrame:
+    """`n_children`, `n_groups` and, of each of `numbers`, the quartiles over groups, at each group's selected k and under its largest size.
+
+    Groups of an age in `left_out` do not count.
+    """
+    met = curve.join(selected.select(*keys, F.col("selected_k").alias("k")), [*keys, "k"]).where(~F.col(age).isin(left_out) & (F.col("n_children") < F.col("maximum")))
+    quartile = lambda c, q: F.percentile(F.col(c), F.lit(q))
+    bands = [quartile(c, q).alias(f"{c}_{n}") for c in numbers for n, q in (("q1", 0.25), ("median", 0.5), ("q3", 0.75))]
+    return met.groupBy("n_children").agg(F.count_distinct(*keys).alias("n_groups"), *bands)

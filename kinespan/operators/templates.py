@@ -199,10 +199,22 @@ def support(assigned: DataFrame, templates: DataFrame, keys: list[str]) -> DataF
     return met.select(*keys, "slot", "candidate", n.cast("long").alias("n_assigned"), least.alias("minimum"), (n >= least).alias("supported"))
 
 
-def set_geometry(left: DataFrame, right: DataFrame, distances: DataFrame, keys: list[str], k: int) -> DataFrame:
+def near_limit(scales: DataFrame, keys: list[str], of_within: float = 1.0, of_between: float = 0.1) -> DataFrame:
+    """`keys`, `near`: up to where two templates count as alike: the scale within children, or without one a part of that between them."""
+    within = F.when(F.col("within") > 0, F.col("within") * of_within)
+    return scales.select(*keys, F.coalesce(within, F.col("between") * of_between).alias("near"))
+
+
+def normalized(value: Column, scale: Column) -> Column:
+    """`value` over `scale`; null for a scale that is missing or not positive."""
+    return value / F.when(scale > 0, scale)
+
+
+def set_geometry(left: DataFrame, right: DataFrame, distances: DataFrame, keys: list[str], k: int, group: list[str] | None = None) -> DataFrame:
     """How far two sets of `k` templates lie apart: the best one-to-one match (`match_mean`, `match_max`), `hausdorff`, `nearest_mean`.
 
-    `left`, `right`: `keys`, `slot` 0..k-1, `candidate`; `distances`: `keys`, `segment_id`, `candidate`, `distance`.
+    `left`, `right`: `keys`, `slot` 0..k-1, `candidate`; `distances`: `group` (by default `keys`), `segment_id`,
+    `candidate`, `distance`. With `group`, several sets of one group, such as trials, share its distances.
     `mapping` gives the right slot of each left slot; of equal matches the first in order of slots. The
     match is the least over all k! orders, which k of at most 5 keeps small. Groups lacking a distance have no row.
     """
@@ -210,7 +222,8 @@ def set_geometry(left: DataFrame, right: DataFrame, distances: DataFrame, keys:
         raise ValueError("k must lie between 1 and 5")
     a = left.select(*keys, F.col("slot").alias("i"), F.col("candidate").alias("segment_id"))
     b = right.select(*keys, F.col("slot").alias("j"), "candidate")
-    met = a.join(distances.select(*keys, "segment_id", "candidate", "distance"), [*keys, "segment_id"]).join(b, [*keys, "candidate"])
+    group = keys if group is None else group
+    met = a.join(b, keys).join(distances.select(*group, "segment_id", "candidate", "distance"), [*group, "segment_id", "candidate"])
     cells = met.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("i", "j", "distance"))).alias("m")).where(F.size("m") == k * k)
     d = lambda i, j: F.col("m")[i * k + j]["distance"]
     orders = [F.struct(F.round(reduce(lambda x, y: x + y, [d(i, p[i]) for i in range(k)]), 12).alias("t"), F.array(*map(F.lit, p)).alias("p")) for p in permutations(range(k))]

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinespan.functions.labels import BLANKS
-from kinespan.operators import reporting, resampling, study
+from kinespan.operators import checks, reporting, resampling, study
 from kinespan.operators.comparison import AGE_GROUPS
 from kinespan.plans import views
 from kinespan.plans.groups import _shown, _up
@@ -204,11 +204,48 @@ def matrix_fingerprint(spark: SparkSession, folder: str) -> DataFrame:
     return reporting.fingerprints(table(spark, folder, "dtw_pairwise"), PART, ["segment_id_a", "segment_id_b"])
 
 
+def templates_per_group(spark: SparkSession, folder: str) -> DataFrame:
+    """Groups by the number of templates chosen for them, strictly and not."""
+    wide = study_choose_k(spark, folder).groupBy("selected_k").pivot("strict", [True, False]).agg(F.count(F.lit(1)))
+    return wide.select("selected_k", F.coalesce("true", F.lit(0)).alias("n_strict"), F.coalesce("false", F.lit(0)).alias("n_other"))
+
+
+def stability_bands(spark: SparkSession, folder: str) -> DataFrame:
+    """Quartiles of the derived curves over groups by size, at the chosen number of templates."""
+    found = study.stability_bands(_curves(spark, folder).withColumn("maximum", F.lit(20)), study_choose_k(spark, folder), GROUP, ["holdout_loss_mean", "excess_median"], ["36_47mo"])
+    return found.select("n_children", "n_groups", *[_shown(c).alias(c) for c in found.columns[2:]])
+
+
+def confounders(spark: SparkSession, folder: str) -> DataFrame:
+    """Covariates of the children of every training group against a split of them in two, with 20 permutations."""
+    rows = views.executions(spark, folder, "training").where("child IS NOT NULL AND action IS NOT NULL AND age IS NOT NULL")
+    covariates = written(study.child_covariates(rows, GROUP, ["institution_id", "camera_id"], ["duration_seconds"]), "covariates")
+    assigned = covariates.select(*GROUP, "child", (F.length("child") % 2 + F.substring("child", -1, 1).cast("int") % 2).alias("slot"))
+    return study.confounders(assigned, covariates.drop("repeat_count"), GROUP, ["institution_id", "camera_id"], ["duration_seconds"], 20)
+
+
+def confounder_effects(spark: SparkSession, folder: str) -> DataFrame:
+    """Their effects alone."""
+    return confounders(spark, folder).select(*GROUP, "variable", _shown("effect").alias("effect"))
+
+
+def preflight(spark: SparkSession, folder: str) -> DataFrame:
+    """Checks of the stored inputs before a study."""
+    catalog = views.topk(spark, folder).where("part IS NOT NULL").select("part", "segment_id", "rank")
+    return checks.preflight(views.executions(spark, folder, "training"), views.part_groups(spark, folder), views.pairs(spark, folder), catalog)
+
+
+def partner_geometry(spark: SparkSession, folder: str) -> DataFrame:
+    """How far the sets of two templates of successive repetitions lie apart."""
+    return resampling.partner_geometry(_trials(spark, folder), _distances(spark, folder), PART, 2).withColumn("mapping", F.array_join(F.col("mapping").cast("array<string>"), ""))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         resampling_sizes, study_trials, study_selection_frequency, trial_gains, trial_partners, study_curves, study_choose_k, study_select_n, study_size_summary, coassignment,
         assignment_stability, child_covariates, eta_squared, mutual_information, permutation_test, support_matrix, review_status, review_tally, policy_reduction, matrix_fingerprint,
+        templates_per_group, stability_bands, confounders, confounder_effects, preflight, partner_geometry,
     )
 }
 
@@ -245,6 +282,13 @@ _STATES = f"""SELECT reference_id, reviewer_id, final_status FROM (SELECT *, row
 _ASSIGNED = "SELECT l_linestatus AS part, l_orderkey % 25 AS repetition, CAST(l_partkey % 20 AS VARCHAR) AS child, max(l_linenumber % 2) AS slot FROM lineitem GROUP BY ALL"
 _Q = "[0, 0.5, 0.75, 0.8, 0.9, 1]"
 
+_COVARIATES = f"""WITH e AS MATERIALIZED (SELECT * FROM ({_EXEC}) WHERE child IS NOT NULL AND action IS NOT NULL AND age IS NOT NULL),
+ {', '.join(f"m_{c} AS (SELECT action, age, child, first(v ORDER BY n DESC, v) AS {c} FROM (SELECT action, age, child, {c} AS v, count(*) AS n FROM e WHERE {c} IS NOT NULL GROUP BY ALL) GROUP BY action, age, child)" for c in ('institution_id', 'camera_id'))},
+ x AS MATERIALIZED (SELECT action, age, child, CAST(length(child) % 2 + CAST(right(child, 1) AS INT) % 2 AS VARCHAR) AS s, institution_id, camera_id, d FROM (SELECT action, age, child, median(duration_seconds) AS d FROM e GROUP BY ALL)
+  LEFT JOIN m_institution_id USING (action, age, child) LEFT JOIN m_camera_id USING (action, age, child)),
+ t AS MATERIALIZED (SELECT action, age, s, 'institution_id' AS variable, institution_id AS v FROM x WHERE institution_id IS NOT NULL UNION ALL SELECT action, age, s, 'camera_id', camera_id FROM x WHERE camera_id IS NOT NULL)"""
+_K_SQL = """SELECT selected_k, count(*) FILTER (strict) AS n_strict, count(*) FILTER (NOT strict) AS n_other FROM ({0}) GROUP BY selected_k"""
+
 SQL = {
     "resampling_sizes": f"""WITH c AS (SELECT part, count(DISTINCT coalesce(child, 'desconocido::' || s)) AS n FROM (SELECT part, unnest([segment_id_a, segment_id_b]) AS s FROM ({PAIRS_SQL})) LEFT JOIN ({CHILDREN_SQL}) ON segment_id = s GROUP BY part),
  t AS (SELECT part, 'primary_h3' AS scheme, n - 3 AS maximum FROM c WHERE n > 3 UNION ALL SELECT part, 'secondary_h20', n - CAST(greatest(5, ceil(round(n * 0.2, 9))) AS INT) FROM c WHERE n - greatest(5, ceil(round(n * 0.2, 9))) >= 8),
@@ -295,3 +339,26 @@ SQL = {
  SELECT 'k2' AS policy, {_up('100 * (1 - avg(b / a))')} AS reduction_pct FROM l UNION ALL SELECT 'k3', {_up('100 * (1 - avg(c / a))')} FROM l""",
     "matrix_fingerprint": """SELECT part, count(*) AS n_rows, CAST(sum(CAST('0x' || substr(sha256(concat_ws(chr(31), coalesce(segment_id_a, chr(0)), coalesce(segment_id_b, chr(0)))), 1, 15) AS HUGEINT)) AS VARCHAR) AS fingerprint FROM dtw_pairwise GROUP BY part""",
 }
+
+SQL["templates_per_group"] = _K_SQL.format(SQL["study_choose_k"])
+SQL["stability_bands"] = f"""WITH d AS MATERIALIZED ({_DERIVED}), c AS (SELECT action, age, n_children, k, avg(holdout_loss) AS m, median(excess) AS e FROM d GROUP BY ALL), s AS ({SQL["study_choose_k"]})
+ SELECT n_children, count(DISTINCT [action, age]) AS n_groups, {', '.join(f"{_up(f'quantile_cont({c}, {q})')} AS {n}_{b}" for c, n in (('m', 'holdout_loss_mean'), ('e', 'excess_median')) for b, q in (('q1', 0.25), ('median', 0.5), ('q3', 0.75)))}
+ FROM c JOIN s USING (action, age) WHERE k = selected_k AND age <> '36_47mo' AND n_children < 20 GROUP BY n_children"""
+SQL["confounder_effects"] = f"""{_COVARIATES}, c AS (SELECT action, age, variable, s, v, count(*)::DOUBLE AS n FROM t GROUP BY ALL), j AS (SELECT action, age, variable, ln(sum(n)) - sum(n * ln(n)) / sum(n) AS h, count(DISTINCT v) AS vs FROM c GROUP BY ALL),
+ a AS (SELECT action, age, variable, ln(sum(n)) - sum(n * ln(n)) / sum(n) AS a FROM (SELECT action, age, variable, s, sum(n) AS n FROM c GROUP BY ALL) GROUP BY ALL),
+ b AS (SELECT action, age, variable, ln(sum(n)) - sum(n * ln(n)) / sum(n) AS b FROM (SELECT action, age, variable, v, sum(n) AS n FROM c GROUP BY ALL) GROUP BY ALL),
+ w AS (SELECT *, avg(d) OVER (PARTITION BY action, age) AS m, avg(d) OVER (PARTITION BY action, age, s) AS ml FROM x WHERE d IS NOT NULL)
+ SELECT action, age, variable, {_up('CASE WHEN vs < 2 THEN 0.0 WHEN (a + b) / 2 < 1e-12 THEN 1.0 ELSE greatest((a + b - h) / ((a + b) / 2), 0) END')} AS effect FROM j JOIN a USING (action, age, variable) JOIN b USING (action, age, variable)
+ UNION ALL SELECT action, age, 'duration_seconds', {_up('CASE WHEN count(*) < 3 OR count(DISTINCT s) < 2 OR sum(power(d - m, 2)) <= 0 THEN 0.0 ELSE sum(power(ml - m, 2)) / sum(power(d - m, 2)) END')} FROM w GROUP BY action, age"""
+SQL["preflight"] = f"""WITH m AS MATERIALIZED ({_EXEC}), i AS MATERIALIZED ({views.PART_GROUPS_SQL}), p AS MATERIALIZED ({PAIRS_SQL}), e AS MATERIALIZED (SELECT DISTINCT part, unnest([segment_id_a, segment_id_b]) AS segment_id FROM p),
+ c AS MATERIALIZED (SELECT DISTINCT part, segment_id, rank FROM ({TOPK_SQL}) WHERE part IS NOT NULL),
+ x AS (SELECT part, segment_id FROM (SELECT *, row_number() OVER (PARTITION BY part ORDER BY round(v, 9), segment_id) AS nr FROM (SELECT part, segment_id, avg(distance) AS v FROM (
+  SELECT part, segment_id_a AS segment_id, distance FROM p UNION ALL SELECT part, segment_id_b, distance FROM p) GROUP BY ALL)) WHERE nr = 1)
+ SELECT 'execution_repeated' AS "check", count(*) AS n_violations FROM (SELECT segment_id FROM m GROUP BY segment_id HAVING count(*) > 1)
+ UNION ALL SELECT 'execution_without_child', count(*) FROM m WHERE child IS NULL UNION ALL SELECT 'execution_without_group', count(*) FROM m WHERE action IS NULL OR age IS NULL
+ UNION ALL SELECT 'index_part_without_group', count(*) FROM i WHERE action IS NULL OR age IS NULL
+ UNION ALL SELECT 'index_part_without_pairs', count(*) FROM i WHERE part NOT IN (SELECT part FROM p) UNION ALL SELECT 'pairs_without_index', count(DISTINCT part) FROM p WHERE part NOT IN (SELECT part FROM i)
+ UNION ALL SELECT 'segment_outside_manifest', count(*) FROM e WHERE segment_id NOT IN (SELECT segment_id FROM m)
+ UNION ALL SELECT 'reference_outside_matrix', count(*) FROM (SELECT DISTINCT part, segment_id FROM c EXCEPT SELECT part, segment_id FROM e)
+ UNION ALL SELECT 'matrix_without_first_reference', count(*) FROM (SELECT part FROM p EXCEPT SELECT part FROM c WHERE rank = 1)
+ UNION ALL SELECT 'first_reference_is_not_the_medoid', count(*) FROM (SELECT DISTINCT part, segment_id FROM c WHERE rank = 1) f JOIN x USING (part) WHERE f.segment_id <> x.segment_id"""
