@@ -9,14 +9,15 @@ they stand still. Both leave out the edge they travel on, so nobody confirms the
 from __future__ import annotations
 
 from functools import reduce
+from math import log
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from kinespan.workspace import discard, written
 
-#: Annotator tables of at most this many rows are broadcast; larger ones are joined with salted edges.
-BROADCAST_ANNOTATORS = 20_000
+#: Tables of annotators' labels of at most this many rows are broadcast; larger ones are joined with salted edges.
+BROADCAST_HABITS = 50_000
 SALTS = 16
 #: Labels that a new annotator is supposed to have given as all annotators did on average.
 PRIOR = 4.0
@@ -35,44 +36,55 @@ def _shares(odds: list[Column]) -> list[Column]:
     return [F.exp(o - top) / _sum([F.exp(x - top) for x in odds]) for o in odds]
 
 
+def _habits(edges: DataFrame, classes: list[str]) -> tuple[DataFrame, int]:
+    """What annotators do: per annotator and label, sums over their edges by class, all they are compared with, and how many rows that is.
+
+    `a{c}`: expected labels on items of class c, `all{c}` the same over all labels, `n` and `n_all` labels;
+    `u{c}`, `v{c}`: how often anybody gives this label to the class and to the rest; `q{c}`: the class's log-odds.
+    """
+    k = range(len(classes))
+    own = written(edges.groupBy("annotator", "label").agg(F.count("*").alias("n"), *[F.sum(f"m{c}").alias(f"a{c}") for c in k]), "habits")
+    by_label = {r["label"]: r for r in own.groupBy("label").agg(F.count("*").alias("rows"), F.sum("n").alias("n"), *[F.sum(f"a{c}").alias(f"a{c}") for c in k]).collect()}
+    total = sum(r["n"] for r in by_label.values())
+    columns: dict[str, Column] = {}
+    for c in k:
+        mass = {x: by_label[x][f"a{c}"] if x in by_label else 0.0 for x in classes}
+        rest = {x: (by_label[x]["n"] if x in by_label else 0) - mass[x] for x in classes}
+        # one label of each kind beforehand, three where label and class agree
+        to_class = {x: mass[x] + (3.0 if x == classes[c] else 1.0) for x in classes}
+        to_rest = {x: rest[x] + 1.0 for x in classes}
+        for name, sizes in ((f"u{c}", to_class), (f"v{c}", to_rest)):
+            columns[name] = F.element_at(F.create_map(*[F.lit(y) for x in classes for y in (x, sizes[x] / sum(sizes.values()))]), F.col("label"))
+        p = min(max(sum(mass.values()) / max(total, 1), 1e-4), 1 - 1e-4)
+        columns[f"q{c}"] = F.lit(log(p / (1 - p)))
+    all_labels = own.groupBy(F.col("annotator").alias("_of")).agg(F.sum("n").alias("n_all"), *[F.sum(f"a{c}").alias(f"all{c}") for c in k])
+    met = own.join(all_labels, F.col("annotator") == F.col("_of")).drop("_of")
+    return written(met.withColumns(columns), "habits"), sum(r["rows"] for r in by_label.values())
+
+
 def _to_items(edges: DataFrame, classes: list[str]) -> DataFrame:
-    """`edges` with `w{c}`, the annotator's log-odds for class c by its label here, from its other edges."""
+    """`edges` with `w{c}`, the annotator's log-odds for class c by its label here, from its other edges, and `q{c}`."""
     k = range(len(classes))
-    is_ = [F.when(F.col("label") == c, 1.0).otherwise(0.0) for c in classes]
-    sums = [F.sum(F.col(f"m{c}") * is_[x]).alias(f"a{c}_{x}") for c in k for x in k]
-    sums += [F.sum((1 - F.col(f"m{c}")) * is_[x]).alias(f"b{c}_{x}") for c in k for x in k]
-    by = edges.groupBy("annotator").agg(F.count("*").alias("n"), *sums)
-    by = written(by, "annotators")
-    names = [f"{side}{c}_{x}" for side in "ab" for c in k for x in k]
-    total = by.agg(F.count("*").alias("annotators"), *[F.sum(n).alias(n) for n in names]).first()
-    priors = {}
-    for side in "ab":
-        for c in k:
-            # one label of each kind beforehand, three where label and class agree
-            sizes = [(total[f"{side}{c}_{x}"] or 0) + (3.0 if side == "a" and x == c else 1.0) for x in k]
-            priors |= {f"p{side}{c}_{x}": F.lit(sizes[x] / sum(sizes)) for x in k}
-    by = by.withColumns(priors)
-    if total["annotators"] <= BROADCAST_ANNOTATORS:
-        met = edges.join(F.broadcast(by), "annotator")
+    habits, rows = _habits(edges, classes)
+    if rows <= BROADCAST_HABITS:
+        met = edges.join(F.broadcast(habits), ["annotator", "label"])
     else:
-        salted = by.withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        met = edges.withColumn("_s", F.pmod(F.xxhash64("item"), F.lit(SALTS)).cast("int")).join(salted, ["annotator", "_s"]).drop("_s")
+        salted = habits.withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        met = edges.withColumn("_s", F.pmod(F.xxhash64("item"), F.lit(SALTS)).cast("int")).join(salted, ["annotator", "label", "_s"])
 
-    def rate(side: str, c: int) -> Column:
-        own = F.col(f"m{c}") if side == "a" else 1 - F.col(f"m{c}")
-        pick = lambda name: _sum([F.col(f"{name}{c}_{x}") * is_[x] for x in k])
-        others = F.greatest(pick(side) - own, F.lit(0.0))
-        size = F.greatest(_sum([F.col(f"{side}{c}_{x}") for x in k]) - own, F.lit(0.0))
-        return (others + PRIOR * pick(f"p{side}")) / (size + PRIOR)
+    def weight(c: int) -> Column:
+        a, whole, m = F.col(f"a{c}"), F.col(f"all{c}"), F.col(f"m{c}")
+        for_class = (F.greatest(a - m, F.lit(0.0)) + PRIOR * F.col(f"u{c}")) / (F.greatest(whole - m, F.lit(0.0)) + PRIOR)
+        for_rest = (F.greatest(F.col("n") - a - (1 - m), F.lit(0.0)) + PRIOR * F.col(f"v{c}")) / (F.greatest(F.col("n_all") - whole - (1 - m), F.lit(0.0)) + PRIOR)
+        return F.log(for_class / for_rest).alias(f"w{c}")
 
-    keep = ["item", "annotator", "label", *[f"m{c}" for c in k]]
-    return met.select(*keep, *[F.log(rate("a", c) / rate("b", c)).alias(f"w{c}") for c in k])
+    return met.select("item", "annotator", "label", *[f"m{c}" for c in k], *[f"q{c}" for c in k], *[weight(c) for c in k])
 
 
-def _scores(weighed: DataFrame, classes: list[str], prior: list[float]) -> DataFrame:
+def _scores(weighed: DataFrame, classes: list[str]) -> DataFrame:
     """`item`, `n_labels` and `s{c}`, the log-odds of each class by all labels of the item."""
     k = range(len(classes))
-    return weighed.groupBy("item").agg(F.count("*").alias("n_labels"), *[(F.sum(f"w{c}") + F.lit(prior[c])).alias(f"s{c}") for c in k])
+    return weighed.groupBy("item").agg(F.count("*").alias("n_labels"), *[(F.sum(f"w{c}") + F.max(f"q{c}")).alias(f"s{c}") for c in k])
 
 
 def consensus(labels: DataFrame, item: str, annotator: str, label: str, classes: list[str]) -> tuple[DataFrame, DataFrame]:
@@ -84,8 +96,6 @@ def consensus(labels: DataFrame, item: str, annotator: str, label: str, classes:
     (null for one label), `reliability` the expected share of the annotator's labels that are right.
     Equal odds go to the class named first. An empty table gives no rows.
     """
-    from math import log
-
     k = range(len(classes))
     edges = labels.select(F.col(item).cast("string").alias("item"), F.col(annotator).cast("string").alias("annotator"), F.col(label).cast("string").alias("label"))
     edges = written(edges.where(F.col("label").isin(classes) & F.col("item").isNotNull() & F.col("annotator").isNotNull()).distinct(), "labels")
@@ -99,24 +109,20 @@ def consensus(labels: DataFrame, item: str, annotator: str, label: str, classes:
     )
     state = written(start, "messages")
     for _ in range(MAX_ROUNDS):
-        mean = state.agg(*[F.avg(f"m{c}").alias(f"m{c}") for c in k]).first()
-        prior = [log((x := min(max(mean[f"m{c}"] or 0.5, 1e-4), 1 - 1e-4)) / (1 - x)) for c in k]
         weighed = _to_items(state, classes)
-        scores = _scores(weighed, classes, prior)
+        scores = _scores(weighed, classes)
         fresh = weighed.join(scores, "item")
         other = _shares([F.col(f"s{c}") - F.col(f"w{c}") for c in k])
         moved = F.greatest(*[F.abs(other[c] - F.col(f"m{c}")) for c in k])
         fresh = fresh.select("item", "annotator", "label", *[other[c].alias(f"m{c}") for c in k], moved.alias("moved"))
-        after = written(fresh, "messages")
-        far = after.agg(F.max("moved")).first()[0]
+        seen = Observation()
+        after = written(fresh.observe(seen, F.max("moved").alias("far")), "messages")
+        far = seen.get["far"]
         discard(state)
         state = after
         if far is None or far <= STILL:
             break
-    weighed = written(_to_items(state, classes), "weighed")
-    mean = state.agg(*[F.avg(f"m{c}").alias(f"m{c}") for c in k]).first()
-    prior = [log((x := min(max(mean[f"m{c}"] or 0.5, 1e-4), 1 - 1e-4)) / (1 - x)) for c in k]
-    scores = _scores(weighed, classes, prior)
+    scores = _scores(_to_items(state, classes), classes)
     p = [x.alias(f"p{c}") for c, x in enumerate(_shares([F.col(f"s{c}") for c in k]))]
     best = F.element_at(F.array(*map(F.lit, classes)), F.array_position(F.array(*[F.col(f"p{c}") for c in k]), F.greatest(*[F.col(f"p{c}") for c in k])).cast("int"))
     agree = _sum([F.col(f"v{x}") * (F.col(f"v{x}") - 1) for x in k])

@@ -46,7 +46,7 @@ def test_salted_annotators_give_the_same(spark, monkeypatch):
     df = spark.createDataFrame(simulated(6)[0][:600], "item string, annotator string, label string")
     take = lambda: {r["item"]: (r["label"], round(r["confidence"], 6)) for r in consensus.consensus(df, "item", "annotator", "label", CLASSES)[0].collect()}
     plain = take()
-    monkeypatch.setattr(consensus, "BROADCAST_ANNOTATORS", 0)
+    monkeypatch.setattr(consensus, "BROADCAST_HABITS", 0)
     assert take() == plain
 
 
