@@ -55,10 +55,11 @@ def trials(distances: DataFrame, planned: DataFrame, keys: list[str], ks: list[i
 
     `distances` as `templates.clip_distances`. All trials of a k are solved together: a trial is a group
     whose costs are those of its training children. Holdout losses are over the children held out.
+    Unknown costs count as in `templates.filled_costs`.
     """
     at = [*keys, "scheme", "repetition", "n_children"]
     sets = written(nested_sets(planned, keys, grid), "sets")
-    matrix = written(T.cost_matrix(distances, keys), "costs")
+    matrix = written(T.filled_costs(T.cost_matrix(distances, keys), keys), "costs")
     own = matrix.join(sets, [*keys, "child"])
     cost = own.join(sets.select(*at, F.col("child").alias("candidate_child")), [*at, "candidate_child"]).select(*at, "child", "candidate", "candidate_child", "cost")
     cost = written(cost, "trial-costs")

@@ -32,6 +32,21 @@ def complete_clips(pairs: DataFrame, keys: list[str]) -> DataFrame:
     return per.join(size, keys).where("n = size - 1").select(*keys, "segment_id")
 
 
+def every_clip(pairs: DataFrame, keys: list[str]) -> DataFrame:
+    """`keys`, `segment_id` of all clips that have a distance to any other clip of their group."""
+    return both_ways(pairs, keys).select(*keys, "segment_id").distinct()
+
+
+def clips_left_out(pairs: DataFrame, keys: list[str]) -> DataFrame:
+    """`keys`, `n_clips`, `n_complete`, `n_pairs`, `n_complete_pairs`: how much of each group `complete_clips` keeps, in clips and in pairs of them."""
+    clips, kept = every_clip(pairs, keys), complete_clips(pairs, keys)
+    side = lambda c: kept.select(*keys, F.col("segment_id").alias(c))
+    inside = pairs.join(side("segment_id_a"), [*keys, "segment_id_a"], "left_semi").join(side("segment_id_b"), [*keys, "segment_id_b"], "left_semi")
+    count = lambda df, name: df.groupBy(*keys).agg(F.count("*").alias(name))
+    met = count(clips, "n_clips").join(count(kept, "n_complete"), keys, "left").join(count(pairs, "n_pairs"), keys).join(count(inside, "n_complete_pairs"), keys, "left")
+    return met.na.fill(0, ["n_complete", "n_complete_pairs"]).select(*keys, "n_clips", "n_complete", "n_pairs", "n_complete_pairs")
+
+
 def clip_distances(pairs: DataFrame, clips: DataFrame, keys: list[str]) -> DataFrame:
     """`keys`, `segment_id`, `child`, `candidate`, `candidate_child`, `distance` of all ordered pairs of clips, a clip to itself 0.
 
@@ -48,6 +63,18 @@ def cost_matrix(distances: DataFrame, keys: list[str]) -> DataFrame:
     return distances.groupBy(*keys, "child", "candidate", "candidate_child").agg(F.avg("distance").alias("cost"))
 
 
+def filled_costs(cost: DataFrame, keys: list[str]) -> DataFrame:
+    """`cost_matrix` with a row for every child and candidate of a group, also where no distance of the child's clips to the candidate is known.
+
+    Such a cost is the child's greatest known one, so that no candidate gains by a missing distance; `known` is false there.
+    A matrix without missing costs stays as it is.
+    """
+    far = cost.groupBy(*keys, "child").agg(F.max("cost").alias("_far"))
+    cells = far.join(cost.select(*keys, "candidate", "candidate_child").distinct(), keys)
+    met = cells.join(cost, [*keys, "child", "candidate", "candidate_child"], "left")
+    return met.select(*keys, "child", "candidate", "candidate_child", F.coalesce("cost", "_far").alias("cost"), F.col("cost").isNotNull().alias("known"))
+
+
 def group_scales(distances: DataFrame, keys: list[str]) -> DataFrame:
     """`keys`, `between`, `within`: the median over pairs of children of their clips' median distance, and over children
     with several clips of their own clips'. Null where there is none."""

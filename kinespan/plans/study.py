@@ -37,7 +37,7 @@ def resampling_sizes(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _trials(spark: SparkSession, folder: str) -> DataFrame:
-    distances = _distances(spark, folder)
+    distances = _distances(spark, folder, complete=False)
     planned = written(resampling.plan(distances.select("part", "child"), PART, REPETITIONS), "plan")
     return written(resampling.trials(distances, planned, PART, KS, SIZES, starts=2), "trials")
 
@@ -50,7 +50,7 @@ def study_trials(spark: SparkSession, folder: str) -> DataFrame:
 
 def study_selection_frequency(spark: SparkSession, folder: str) -> DataFrame:
     """How often every clip of a matrix is in a trial's set."""
-    clips = _distances(spark, folder).select("part", "segment_id").distinct()
+    clips = _distances(spark, folder, complete=False).select("part", "segment_id").distinct()
     return study.selection_frequency(_trials(spark, folder), ["part", "scheme", "n_children", "k"], clips, PART)
 
 
@@ -237,7 +237,7 @@ def preflight(spark: SparkSession, folder: str) -> DataFrame:
 
 def partner_geometry(spark: SparkSession, folder: str) -> DataFrame:
     """How far the sets of two templates of successive repetitions lie apart."""
-    return resampling.partner_geometry(_trials(spark, folder), _distances(spark, folder), PART, 2).withColumn("mapping", F.array_join(F.col("mapping").cast("array<string>"), ""))
+    return resampling.partner_geometry(_trials(spark, folder), _distances(spark, folder, complete=False), PART, 2).withColumn("mapping", F.array_join(F.col("mapping").cast("array<string>"), ""))
 
 
 QUERIES = {

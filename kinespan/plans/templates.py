@@ -14,14 +14,19 @@ from kinespan.workspace import written
 PART = ["part"]
 
 
-def _distances(spark: SparkSession, folder: str) -> DataFrame:
-    """Ordered pairs of the clips of every matrix that have all their distances, with their children."""
+def _distances(spark: SparkSession, folder: str, complete: bool = True) -> DataFrame:
+    """Ordered pairs of the clips of every matrix with their children: of those that have all their distances, as the SQL has it, or of every clip."""
     pairs = written(views.pairs(spark, folder), "pairs")
-    clips = T.complete_clips(pairs, PART).join(views.training_children(spark, folder), "segment_id", "left")
+    clips = (T.complete_clips if complete else T.every_clip)(pairs, PART).join(views.training_children(spark, folder), "segment_id", "left")
     clips = clips.withColumn("child", F.coalesce("child", F.concat(F.lit("desconocido::"), F.col("segment_id"))))
     return written(T.clip_distances(pairs, clips, PART), "distances")
 
 
+def template_clips_left_out(spark: SparkSession, folder: str) -> DataFrame:
+    """Clips and pairs of every matrix, and how many of them the queries with `complete_clips` work on."""
+    return T.clips_left_out(written(views.pairs(spark, folder), "pairs"), PART)
+
+
 def group_scales(spark: SparkSession, folder: str) -> DataFrame:
     """Median distances between and within the children of every matrix."""
     found = T.group_scales(_distances(spark, folder), PART)
@@ -48,8 +53,8 @@ def pmedian_greedy2(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def pmedian_k3(spark: SparkSession, folder: str) -> DataFrame:
-    """Three templates of every matrix: greedy and four random starts, refined by swaps."""
-    cost = written(T.cost_matrix(_distances(spark, folder), PART), "cost")
+    """Three templates of every matrix, over all its clips: greedy and four random starts, refined by swaps."""
+    cost = written(T.filled_costs(T.cost_matrix(_distances(spark, folder, complete=False), PART), PART), "cost")
     found = T.solved_templates(cost, PART, 3)
     return found.join(T.objectives(cost, found, PART).drop("ids"), "part").withColumn("objective", _shown("objective"))
 
@@ -121,7 +126,7 @@ def assignment_rand(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        group_scales, cost_matrix, pmedian_k1, pmedian_greedy2, pmedian_k3, template_assignment, template_summary, template_support, set_geometry, set_overlap, assignment_rand,
+        template_clips_left_out, group_scales, cost_matrix, pmedian_k1, pmedian_greedy2, pmedian_k3, template_assignment, template_summary, template_support, set_geometry, set_overlap, assignment_rand,
     )
 }
 
@@ -159,6 +164,10 @@ _CROSS = "x AS MATERIALIZED (SELECT t.part, t.slot AS i, o.slot AS j, t.candidat
 _M = "(SELECT part, max(distance) FILTER (i = 0 AND j = 0) AS p, max(distance) FILTER (i = 0 AND j = 1) AS q, max(distance) FILTER (i = 1 AND j = 0) AS r, max(distance) FILTER (i = 1 AND j = 1) AS s FROM x GROUP BY part HAVING count(*) = 4)"
 
 SQL = {
+    "template_clips_left_out": f"""{_HEAD}, p AS (SELECT part, count(*) AS n FROM pairs GROUP BY part), c AS (SELECT part, count(*) AS n FROM clips GROUP BY part),
+ i AS (SELECT p.part, count(*) AS n FROM pairs p JOIN clips a ON a.part = p.part AND a.segment_id = p.segment_id_a JOIN clips b ON b.part = p.part AND b.segment_id = p.segment_id_b GROUP BY p.part),
+ s AS (SELECT part, count(*) AS n FROM per GROUP BY part)
+ SELECT s.part, s.n AS n_clips, coalesce(c.n, 0) AS n_complete, p.n AS n_pairs, coalesce(i.n, 0) AS n_complete_pairs FROM s JOIN p USING (part) LEFT JOIN c USING (part) LEFT JOIN i USING (part)""",
     "group_scales": f"{_HEAD} SELECT part, {_up('between_')} AS between, {_up('within_')} AS within FROM scales".replace(" AS between,", ' AS "between",'),
     "cost_matrix": f"{_HEAD} SELECT part, child, candidate, candidate_child, {_up('cost')} AS cost FROM cost",
     "pmedian_k1": f"{_HEAD} SELECT part, candidate, candidate_child, {_up('v')} AS objective FROM one",

@@ -2,6 +2,7 @@ from itertools import combinations, permutations
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from kinespan.operators import resampling, study
 from kinespan.operators import templates as T
@@ -178,3 +179,17 @@ def test_associations(spark):
     assert (got["one"]["effect"], got["one"]["p_value"]) == (0.0, 1.0)
     numbers = spark.createDataFrame([("x", "a", 1.0), ("x", "a", 1.0), ("x", "b", 3.0), ("flat", "a", 1.0), ("flat", "b", 1.0), ("flat", "b", 1.0), ("x", None, 9.0)], "g string, l string, v double")
     assert {r["g"]: r["eta_squared"] for r in study.eta_squared(numbers, KEYS, "l", "v").collect()} == {"x": 1.0, "flat": 0.0}
+
+
+def test_a_missing_pair_costs_no_clip(spark):
+    """One distance of six is missing: all four clips stay, and the unknown costs are the children's greatest."""
+    known = {("a", "b"): 1.0, ("a", "c"): 2.0, ("a", "d"): 3.0, ("b", "c"): 4.0, ("b", "d"): 5.0}
+    pairs = spark.createDataFrame([("x", a, b, d) for (a, b), d in known.items()], "g string, segment_id_a string, segment_id_b string, distance double")
+    assert {r["segment_id"] for r in T.every_clip(pairs, KEYS).collect()} == set("abcd")
+    assert tuple(T.clips_left_out(pairs, KEYS).first()) == ("x", 4, 2, 5, 1)
+    clips = T.every_clip(pairs, KEYS).withColumn("child", F.concat(F.lit("k"), "segment_id"))
+    cost = T.filled_costs(T.cost_matrix(T.clip_distances(pairs, clips, KEYS), KEYS), KEYS).cache()
+    got = {(r["child"], r["candidate"]): (r["cost"], r["known"]) for r in cost.collect()}
+    want = {(f"k{a}", b): (0.0 if a == b else known.get((min(a, b), max(a, b))), True) for a in "abcd" for b in "abcd"}
+    assert got == want | {("kc", "d"): (4.0, False), ("kd", "c"): (5.0, False)}
+    assert [r["candidate"] for r in T.solved_templates(cost, KEYS, 2).orderBy("slot").collect()] == ["a", "d"]
