@@ -120,6 +120,13 @@ def _catalog(spark: SparkSession, folder: str) -> DataFrame:
     return comparison.reference_catalog(chosen, main, ["action", "age"])
 
 
+def _whole_catalog(spark: SparkSession, folder: str) -> DataFrame:
+    """All distinct references of each group, from all its matrices; the first by rank and id is its primary."""
+    rows = views.topk(spark, folder).groupBy("action", "age", "segment_id").agg(F.min("rank").alias("rank"), F.min("child").alias("child"))
+    main = rows.groupBy("action", "age").agg(F.min(F.struct("rank", "segment_id")).alias("m")).select("action", "age", F.col("m.segment_id").alias("medoid_segment_id"))
+    return comparison.reference_catalog(rows, main, ["action", "age"])
+
+
 def reference_catalog(spark: SparkSession, folder: str) -> DataFrame:
     """The stored catalog with its stored primaries marked."""
     found = comparison.reference_catalog(views.topk(spark, folder), views.primaries(spark, folder), ["action", "age"])
@@ -160,6 +167,12 @@ def expected_comparisons(spark: SparkSession, folder: str) -> DataFrame:
     return comparison.planned(_requests(spark, folder, catalog), catalog)
 
 
+def expected_comparisons_all(spark: SparkSession, folder: str) -> DataFrame:
+    """The comparisons planned with all references of a group; they grow with executions times references."""
+    catalog = _whole_catalog(spark, folder)
+    return comparison.planned(_requests(spark, folder, catalog), catalog)
+
+
 def _results(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Catalog, plan and results where the stored distance of reference and its part stands for the kernel:
 
@@ -225,7 +238,7 @@ QUERIES = {
     for f in (
         group_pairs, group_centrality, group_medoid, group_quantiles, topk_diverse, topk_first_two, catalog_rebuilt, catalog_sizes, catalog_diff, matrix_violations,
         index_check, child_canonical, k_by_children, age_bin_parse, reference_catalog, catalog_problems, requests, request_states, coverage_matrix,
-        expected_comparisons, comparison_status, status_counts, separation_controls, execution_profiles, child_action_rollup, coverage_by_summary,
+        expected_comparisons, expected_comparisons_all, comparison_status, status_counts, separation_controls, execution_profiles, child_action_rollup, coverage_by_summary,
     )
 }
 
@@ -258,6 +271,8 @@ _TOPK = f"""WITH links AS MATERIALIZED ({BOTH_SQL}), pool AS MATERIALIZED ({_POO
 _CATALOG = f"""SELECT t.action, t.age, segment_id, rank, child, row_number() OVER (PARTITION BY t.action, t.age ORDER BY rank, segment_id) = 1 AS is_primary FROM ({TOPK_SQL}) t
  JOIN (SELECT action, age, min(part) AS part FROM ({TOPK_SQL}) GROUP BY action, age) f ON t.action = f.action AND t.age = f.age AND t.part = f.part"""
 _AGES = "'36_47mo', '48_59mo', '60_71mo', '72_83mo'"
+_WHOLE_CATALOG = f"""SELECT action, age, segment_id, min(rank) AS rank, min(child) AS child, row_number() OVER (PARTITION BY action, age ORDER BY min(rank), segment_id) = 1 AS is_primary
+ FROM ({TOPK_SQL}) GROUP BY action, age, segment_id"""
 _REQUESTS = f"""SELECT segment_id, child, action, age, age_offset, coalesce(t, '') AS target_age, coalesce(n, 0) AS n_references,
  CASE WHEN t IS NULL THEN 'fuera_de_dominio_etario' WHEN n IS NULL THEN 'sin_grupo_de_referencia' WHEN duration_seconds IS NULL THEN 'sin_secuencia' ELSE 'solicitada' END AS state FROM (
  SELECT e.*, age_offset, CASE WHEN age IN ({_AGES}) OR age IS NOT NULL THEN list_filter([{_AGES}], lambda g: CAST(split_part(g, '_', 1) AS INT) = CAST(split_part(age, '_', 1) AS INT) + 12 * age_offset)[1] END AS t
@@ -324,6 +339,7 @@ SQL = {
     "request_states": f"SELECT state, count(*) AS n FROM ({_REQUESTS}) GROUP BY state",
     "coverage_matrix": f"""SELECT action, {', '.join(f"count(*) FILTER (state = '{s}') AS {s}" for s in ('solicitada', 'fuera_de_dominio_etario', 'sin_grupo_de_referencia', 'sin_secuencia'))} FROM ({_REQUESTS}) GROUP BY action""",
     "expected_comparisons": _PLAN,
+    "expected_comparisons_all": _PLAN.replace(_CATALOG, _WHOLE_CATALOG),
     "comparison_status": f"{_WITH} SELECT segment_id, reference_id, age_offset, is_primary, round(distance, 6) AS distance, state FROM r",
     "status_counts": f"{_WITH} SELECT action, state, count(*) AS n FROM r GROUP BY action, state",
     "separation_controls": f"""{_WITH}, e AS MATERIALIZED ({executions_sql('validation')}), c AS ({_CATALOG})

@@ -1,7 +1,9 @@
 import pytest
+from pyspark.sql import functions as F
 
 from kinespan.operators import comparison as C
 from kinespan.operators import profiles as P
+from kinespan.plans import groups, views
 
 
 @pytest.fixture(scope="module")
@@ -88,3 +90,12 @@ def test_two_primaries_give_no_primary_summary(spark):
     got = {r["summary"]: r["d_E"] for r in P.profiles(df).collect()}
     assert got == {"primaria": None, "mediana_topk": 1.0, "minimo_topk": 1.0}
     assert P.profiles(df.where("false")).count() == 0
+
+
+def test_all_references_of_a_group_are_planned_against(spark):
+    """The stored catalog has several matrices a group; each reference of a group that is asked for is in the plan."""
+    folder = "/root/testdata/sf0.001"
+    plan = groups.expected_comparisons_all(spark, folder).select("action", "target_age", "reference_id").distinct()
+    asked = plan.select("action", F.col("target_age").alias("age")).distinct()
+    stored = views.topk(spark, folder).join(asked, ["action", "age"]).select("action", "age", "segment_id").distinct()
+    assert {tuple(r) for r in plan.collect()} == {tuple(r) for r in stored.collect()}
