@@ -11,6 +11,7 @@ each length as were settled.
 from __future__ import annotations
 
 from bisect import bisect_right
+from math import isqrt
 
 import numpy as np
 import pandas as pd
@@ -21,6 +22,8 @@ from kinespan.workspace import written
 
 #: Tokens over which the dynamic programme runs; a larger rest is first brought down with the longest documents.
 WINDOW = 20_000
+#: The same where the longest documents leave the budget unmet: they are then given back, and the programme runs over so many tokens.
+WIDE = 1 << 23
 #: Hash ranges by which the documents of one source and length are ranked, so that no task ranks them all.
 RANGES = 256
 
@@ -32,10 +35,12 @@ def source_key(c: Column) -> Column:
 
 
 def fit(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
-    """How many documents of each length to take, at most `counts`, so that the sum comes nearest below `budget`.
+    """How many documents of each length to take, at most `counts`, so that the sum comes near below `budget`.
 
-    The same share of every length first, then the longest that fit while the rest is over WINDOW,
-    then the best reachable sum by dynamic programming over the rest. Sorted `lengths` over 0.
+    The same share of every length is fixed first; over what it leaves the sum is the best there is, found by
+    dynamic programming, as long as that is at most WIDE tokens or met. Over WINDOW the longest that fit are
+    tried first, and given back if the budget is not met with them. A larger rest is brought down to WIDE by
+    the longest that fit; `reached_shares` shows by `budget` and `n_tokens` what then is missing. Sorted `lengths` over 0.
     """
     take = np.zeros(len(lengths), np.int64)
     whole = int((lengths * counts).sum())
@@ -46,34 +51,59 @@ def fit(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
     # a little less than the even share, so that some of every length stays for the fitting
     take = np.minimum(counts, np.floor(counts * (budget / whole))).astype(np.int64)
     rest = budget - int((lengths * take).sum())
-    while rest > WINDOW:
+    best = np.zeros(len(lengths), np.int64)
+    for window in (WINDOW, WIDE):
+        more, left = _longest(lengths, counts - take, rest, window)
+        more += _nearest(lengths, counts - take - more, left)
+        best = max(best, more, key=lambda x: int((lengths * x).sum()))
+        if int((lengths * best).sum()) == rest or rest <= window:
+            break
+    return take + best
+
+
+def _longest(lengths: np.ndarray, counts: np.ndarray, rest: int, window: int) -> tuple[np.ndarray, int]:
+    """The longest documents that fit, taken while `rest` is over `window`, and what then is left of `rest`."""
+    take = np.zeros(len(lengths), np.int64)
+    while rest > window:
         i = bisect_right(lengths.tolist(), rest) - 1
         while i >= 0 and take[i] >= counts[i]:
             i -= 1
         if i < 0:
-            return take
-        n = min(int(counts[i] - take[i]), max(1, (rest - WINDOW) // int(lengths[i])))
+            break
+        n = min(int(counts[i] - take[i]), max(1, (rest - window) // int(lengths[i])))
         take[i] += n
         rest -= n * int(lengths[i])
-    # reach: bit t is set if some documents sum to t; powers of two make each count's choices few
-    mask, reach, steps = (1 << (rest + 1)) - 1, 1, []
+    return take, rest
+
+
+def _nearest(lengths: np.ndarray, counts: np.ndarray, rest: int) -> np.ndarray:
+    """How many of each length sum up nearest below `rest`, by dynamic programming."""
+    take, items = np.zeros(len(lengths), np.int64), []
     for i in range(len(lengths)):
-        left, size = int(min(counts[i] - take[i], rest // int(lengths[i]))) if lengths[i] <= rest else 0, 1
+        # powers of two make each count's choices few
+        left, size = int(min(counts[i], rest // int(lengths[i]))), 1
         while left > 0:
-            n = min(size, left)
-            wider = (reach | (reach << (n * int(lengths[i])))) & mask
-            if wider != reach:
-                steps.append((i, n, reach))
-                reach = wider
-            left -= n
+            items.append((i, min(size, left)))
+            left -= size
             size *= 2
-        if reach >> rest & 1:
-            break
+    # bit t is set if some documents sum to t; of the sets in between every `block`th is kept and the others are made again on the way back
+    mask, block = (1 << (rest + 1)) - 1, isqrt(len(items)) + 1
+    after = lambda reach, item: (reach | (reach << (item[1] * int(lengths[item[0]])))) & mask
+    reach, kept, done = 1, [], 0
+    while done < len(items) and reach.bit_length() <= rest:
+        if done % block == 0:
+            kept.append(reach)
+        reach = after(reach, items[done])
+        done += 1
     at = reach.bit_length() - 1
-    for i, n, before in reversed(steps):
-        if not before >> at & 1:
-            take[i] += n
-            at -= n * int(lengths[i])
+    for b in reversed(range(len(kept))):
+        part, before = items[b * block : min((b + 1) * block, done)], [kept[b]]
+        for item in part[:-1]:
+            before.append(after(before[-1], item))
+        for (i, n), held in zip(reversed(part), reversed(before)):
+            if not held >> at & 1:
+                take[i] += n
+                at -= n * int(lengths[i])
     return take
 
 

@@ -76,3 +76,16 @@ def test_nulls_and_empty(spark):
     got = {r["source"]: r["n_tokens"] for r in mixing.reached_shares(mixing.draw(sized, budget), budget).collect()}
     assert got == {"a": 0, "b": 0}
     assert mixing.draw(sized.where("false"), mixing.budgets(sized.where("false"), targets)).count() == 0
+
+
+def test_long_documents_are_given_back_where_they_miss_the_budget():
+    assert mixing.fit(np.array([45_000, 50_000, 60_000]), np.array([1, 1, 1]), 95_000).tolist() == [1, 1, 0]
+    rng = random.Random(11)
+    for _ in range(30):
+        lengths = np.array(sorted(rng.sample(range(20_001, 90_000), 6)))
+        counts = np.array([rng.randrange(1, 3) for _ in lengths])
+        budget = rng.randrange(20_001, int((lengths * counts).sum()))
+        take = mixing.fit(lengths, counts, budget)
+        even = np.floor(counts * (budget / (lengths * counts).sum())).astype(int)
+        rest = budget - int((lengths * even).sum())
+        assert (take <= counts).all() and int((lengths * (take - even)).sum()) == best_sum(lengths, counts - even, rest)
