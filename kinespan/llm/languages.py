@@ -138,8 +138,6 @@ def mixtures(score: np.ndarray, size: np.ndarray, doc: np.ndarray) -> tuple[np.n
         return np.add.reduceat(np.log(np.maximum((theta[doc] * like).sum(axis=1), 1e-300)), starts)
 
     theta, p = fitted(np.full((n_docs, n_langs), 1 / n_langs), EM_ROUNDS)
-    theta = np.where(theta < 1e-3, 0, theta)
-    theta /= theta.sum(axis=1, keepdims=True)
     price = PENALTY * np.log(words + 1)
     settled = np.zeros(n_docs, bool)
     for _ in range(n_langs - 1):

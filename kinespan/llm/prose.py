@@ -20,6 +20,12 @@ CALL = re.compile(r"^[^\W\d][\w.]*(?:\(| ?\()?\s*([\"'])(?=.*\1)")
 ASIDE = re.compile(r"`[^`]*`|\([\d\s/.,:%-]*\)")
 #: A name with an argument list, a path, or a mark such as `a.b` that ordinary sentences don't have.
 CODE = re.compile(r"\w\(|\w/\w+/|[^\W\d]\.[^\W\d]\w|[^\W\d_][a-z]+[A-Z]|\w--?\w+ \d|^\s*[-+] ?\w+ \d")
+#: A link with a shown text, an address on the web or for mail.
+LINK = re.compile(r"\[([^\[\]\n]*[^\W\d_][^\[\]\n]*)\]\([^\s()]+\)")
+ADDRESS = re.compile(r"<?\b(?:https?://|www\.)[^\s<>\"'`]*[^\s<>\"'`.,;:!?)\]}]>?|<?\b[\w.+-]+@[\w-]+(?:\.[\w-]+)+>?")
+#: A semicolon or an identifier between plain words.
+INNER = re.compile(r"(?<=[^\W\d_]);(?= [^\W\d_]+,? [^\W\d_])|(?<=[^\W\d_] )(?=[^\W_]*_)\w+(?=,? [^\W\d_]+,? [^\W\d_])")
+PLAIN = re.compile(r"(?:^|\s)[^\W\d_]+,? [^\W\d_]+,? ?\Z")
 WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
 SENTENCE = re.compile(r"(?<=[.!?:])\s+")
 MARKS = re.compile(r"[̀-ͯ]+")
@@ -53,9 +59,20 @@ def folded(text: str) -> str:
     return text if text.isascii() else MARKS.sub("", unicodedata.normalize("NFKD", text))
 
 
+def cleared(text: str) -> str:
+    """`text`, equally long, where links, addresses, and semicolons and identifiers between plain words are blank."""
+    if "](" in text:
+        text = LINK.sub(lambda m: f" {m[1]}".ljust(len(m[0])), text)
+    if "://" in text or "www." in text or "@" in text:
+        text = ADDRESS.sub(lambda m: " " * len(m[0]), text)
+    if ";" in text or "_" in text:
+        text = INNER.sub(lambda m: " " * len(m[0]) if PLAIN.search(text, max(0, m.start() - 60), m.start()) else m[0], text)
+    return text
+
+
 def lines(text: str) -> Iterator[tuple[int, int, str]]:
     """Start, end and content of each line that may be prose."""
-    for m in LINE.finditer(text):
+    for m in LINE.finditer(cleared(text)):
         body = m.group(1)
         call = CALL.match(body)
         if call:

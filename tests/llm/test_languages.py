@@ -73,3 +73,23 @@ def test_mixture_drops_a_language_without_evidence():
     theta, p = languages.mixtures(score * 5, np.array([10.0, 10.0, 10.0]), np.array([0, 0, 1]))
     assert theta[0].argmax() == 0 and theta[0, 1] == 0 and theta[1].argmax() == 2
     assert p.argmax(axis=1).tolist() == [0, 0, 2]
+
+
+def test_a_second_language_is_found_in_a_very_long_text():
+    """30 of 40,030 words are in the second language: under a thousandth, but with evidence enough."""
+    score = np.zeros((4003, 3))
+    score[:4000, 0], score[4000:, 1] = 20, 20
+    theta, p = languages.mixtures(score, np.full(4003, 10.0), np.zeros(4003, int))
+    assert theta[0, 1] > 0 and theta[0, 2] == 0 and p[4000:].argmax(axis=1).tolist() == [1, 1, 1]
+
+
+def test_signs_within_a_sentence_do_not_lose_its_line():
+    text = (
+        "# The helper sorts the names; the reader shows them.\n\n# See [the long guide](https://a.example/b_c) for the rest of it.\n\n"
+        "# Write to a.b@example.org before the next of the meetings.\n\n# The field user_id holds the name of it.\n\nx = a; y = b; z = c\nfor (i = 0; i < n; i++) { run(i); }\n"
+    )
+    found = stretches(text)
+    assert [" ".join(s.words) for s in found] == [
+        "the helper sorts the names the reader shows them", "see the long guide for the rest of it", "write to before the next of the meetings", "the field holds the name of it",
+    ]
+    assert [text[s.start : s.end].count("#") for s in found] == [1, 1, 1, 1]
