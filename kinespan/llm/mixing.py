@@ -2,16 +2,16 @@
 
 A source's budget is its share of the target weights times the mixture's size. Whole passes over the
 source come first, as many as the budget and the cap on repeats allow. What is left is a subset-sum
-problem: documents are counted by their exact length, the same fraction of every length is taken,
-and a bounded-knapsack dynamic programme over the remaining lengths meets what that leaves open.
-Only counts by length enter it; the documents themselves are then drawn by a seeded hash, as many of
-each length as were settled.
+problem: documents are counted by their exact length, an even share of all lengths is set aside as far
+as that leaves the fitting enough room, and a bounded-knapsack dynamic programme over counts by length
+meets the rest, giving back of the even share what it needs. Only counts by length enter it; the
+documents themselves are then drawn by a seeded hash, as many of each length as were settled.
 """
 
 from __future__ import annotations
 
-from bisect import bisect_right
-from math import isqrt
+from functools import reduce
+from math import gcd
 
 import numpy as np
 import pandas as pd
@@ -20,12 +20,12 @@ from pyspark.sql import functions as F
 
 from kinespan.workspace import written
 
-#: Tokens over which the dynamic programme runs; a larger rest is first brought down with the longest documents.
-WINDOW = 20_000
-#: The same where the longest documents leave the budget unmet: they are then given back, and the programme runs over so many tokens.
-WIDE = 1 << 23
-#: Hash ranges by which the documents of one source and length are ranked, so that no task ranks them all.
+#: Tokens over which the dynamic programme runs at first, and at most; in between it takes eight times as many each time.
+WINDOW, WIDEST = 1 << 16, 1 << 25
+#: Hash ranges in which the documents of one source and length are counted; only one of them is ranked.
 RANGES = 256
+#: Counts by source and length of at most so many rows are broadcast; more are joined.
+BROADCAST_LENGTHS = 200_000
 
 
 def source_key(c: Column) -> Column:
@@ -35,45 +35,41 @@ def source_key(c: Column) -> Column:
 
 
 def fit(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
-    """How many documents of each length to take, at most `counts`, so that the sum comes near below `budget`.
+    """How many documents of each length to take, at most `counts`, so that the sum comes nearest below `budget`. Sorted `lengths` over 0.
 
-    The same share of every length is fixed first; over what it leaves the sum is the best there is, found by
-    dynamic programming, as long as that is at most WIDE tokens or met. Over WINDOW the longest that fit are
-    tried first, and given back if the budget is not met with them. A larger rest is brought down to WIDE by
-    the longest that fit; `reached_shares` shows by `budget` and `n_tokens` what then is missing. Sorted `lengths` over 0.
+    The sum is the best there is where it meets the budget, and wherever the budget is at most WIDEST
+    tokens (counted in their common divisor), since the programme then runs over all of it. For a larger budget that no
+    choice within the widest window meets, the sum falls short by less than the shortest document
+    that is not taken. Windows only bound how much of the even share can be given back.
     """
-    take = np.zeros(len(lengths), np.int64)
+    lengths, counts = lengths.astype(np.int64), counts.astype(np.int64)
     whole = int((lengths * counts).sum())
-    if budget >= whole:
-        return counts.astype(np.int64)
-    if budget <= 0 or not len(lengths):
-        return take
-    # a little less than the even share, so that some of every length stays for the fitting
-    take = np.minimum(counts, np.floor(counts * (budget / whole))).astype(np.int64)
-    rest = budget - int((lengths * take).sum())
-    best = np.zeros(len(lengths), np.int64)
-    for window in (WINDOW, WIDE):
-        more, left = _longest(lengths, counts - take, rest, window)
-        more += _nearest(lengths, counts - take - more, left)
-        best = max(best, more, key=lambda x: int((lengths * x).sum()))
-        if int((lengths * best).sum()) == rest or rest <= window:
-            break
-    return take + best
-
-
-def _longest(lengths: np.ndarray, counts: np.ndarray, rest: int, window: int) -> tuple[np.ndarray, int]:
-    """The longest documents that fit, taken while `rest` is over `window`, and what then is left of `rest`."""
-    take = np.zeros(len(lengths), np.int64)
-    while rest > window:
-        i = bisect_right(lengths.tolist(), rest) - 1
-        while i >= 0 and take[i] >= counts[i]:
-            i -= 1
-        if i < 0:
-            break
-        n = min(int(counts[i] - take[i]), max(1, (rest - window) // int(lengths[i])))
-        take[i] += n
-        rest -= n * int(lengths[i])
-    return take, rest
+    if budget >= whole or not len(lengths):
+        return counts.copy()
+    if budget <= 0:
+        return np.zeros(len(lengths), np.int64)
+    unit = reduce(gcd, lengths.tolist())
+    lengths, whole, budget = lengths // unit, whole // unit, budget // unit
+    best, reached, window = np.zeros(len(lengths), np.int64), -1, max(WINDOW, 4 * int(lengths[-1]))
+    while True:
+        base = _even(lengths, counts, max(0, budget - min(window, WIDEST)), whole)
+        rest = budget - int((lengths * base).sum())
+        take = base + _nearest(lengths, counts - base, rest)
+        if int((lengths * take).sum()) > reached:
+            best, reached = take, int((lengths * take).sum())
+        if reached == budget or not base.any() or window >= WIDEST:
+            return best
+        window *= 8
+
+
+def _even(lengths: np.ndarray, counts: np.ndarray, amount: int, whole: int) -> np.ndarray:
+    """Of each length about the same share, `amount` of `whole` tokens in all, less at most the longest document: what a length leaves over goes to the next."""
+    take, carry = np.zeros(len(lengths), np.int64), 0.0
+    for i, (n, c) in enumerate(zip(lengths.tolist(), counts.tolist())):
+        wish = carry + n * c * (amount / whole)
+        take[i] = min(c, int(wish / n))
+        carry = wish - take[i] * n
+    return take
 
 
 def _nearest(lengths: np.ndarray, counts: np.ndarray, rest: int) -> np.ndarray:
@@ -86,24 +82,23 @@ def _nearest(lengths: np.ndarray, counts: np.ndarray, rest: int) -> np.ndarray:
             items.append((i, min(size, left)))
             left -= size
             size *= 2
-    # bit t is set if some documents sum to t; of the sets in between every `block`th is kept and the others are made again on the way back
-    mask, block = (1 << (rest + 1)) - 1, isqrt(len(items)) + 1
-    after = lambda reach, item: (reach | (reach << (item[1] * int(lengths[item[0]])))) & mask
-    reach, kept, done = 1, [], 0
-    while done < len(items) and reach.bit_length() <= rest:
-        if done % block == 0:
-            kept.append(reach)
-        reach = after(reach, items[done])
-        done += 1
+    # bit t is set if some documents sum to t; `via` is the item that reached t first, so the way back has each item once
+    mask, reach, via = (1 << (rest + 1)) - 1, 1, np.full(rest + 1, -1, np.int32)
+    for nr, (i, n) in enumerate(items):
+        fresh = (reach << (n * int(lengths[i]))) & mask & ~reach
+        if fresh:
+            bits = np.frombuffer(fresh.to_bytes(rest // 8 + 1, "little"), np.uint8)
+            some = np.flatnonzero(bits)
+            at = np.flatnonzero(np.unpackbits(bits[some], bitorder="little"))
+            via[some[at >> 3] * 8 + (at & 7)] = nr
+            reach |= fresh
+        if reach >> rest & 1:
+            break
     at = reach.bit_length() - 1
-    for b in reversed(range(len(kept))):
-        part, before = items[b * block : min((b + 1) * block, done)], [kept[b]]
-        for item in part[:-1]:
-            before.append(after(before[-1], item))
-        for (i, n), held in zip(reversed(part), reversed(before)):
-            if not held >> at & 1:
-                take[i] += n
-                at -= n * int(lengths[i])
+    while at:
+        i, n = items[via[at]]
+        take[i] += n
+        at -= n * int(lengths[i])
     return take
 
 
@@ -142,11 +137,6 @@ def budgets(sized: DataFrame, targets: DataFrame, total: int | None = None) -> D
     return met.withColumn("share", share).withColumn("wish", wish).withColumn("budget", F.floor("wish").cast("long"))
 
 
-def short_sources(budget: DataFrame) -> DataFrame:
-    """The listed sources that cannot reach their share even when all their documents are taken `max_repeats` times."""
-    return budget.where(F.col("max_repeats") * F.col("available") < F.col("wish")).select(F.col("listed").alias("source"))
-
-
 def sized_documents(documents: DataFrame, targets: DataFrame, tokens: str = "n_tokens") -> DataFrame:
     """`doc_id`, `source` (as `source_key`) and `n_tokens` of the documents of listed sources."""
     listed = [r[0] for r in targets.select(source_key(F.col("source"))).distinct().limit(10_001).collect() if r[0]]
@@ -160,7 +150,9 @@ def draw(sized: DataFrame, budget: DataFrame, seed: int = 20260715) -> DataFrame
 
     `sized` (`doc_id`, `source`, `n_tokens`) should be a written table. Documents without tokens are
     never drawn beyond whole passes. Same input and seed, same draw. The counts of one source by
-    length go to one task; there are at most as many as the longest document has tokens.
+    length go to one task; there are at most as many as the longest document has tokens. Documents
+    are counted in ranges of their hash; those of ranges below or above the last drawn one are taken or left where
+    they are, and only that range's, one in RANGES, are ranked.
     """
     histogram = sized.groupBy("source", "n_tokens").agg(F.count("*").alias("n_docs"))
     plan = histogram.join(F.broadcast(budget.select("source", "max_repeats", "budget")), "source")
@@ -170,19 +162,31 @@ def draw(sized: DataFrame, budget: DataFrame, seed: int = 20260715) -> DataFrame
     placed = placed.withColumn("_range", F.shiftrightunsigned("_h", 64 - RANGES.bit_length() + 1).cast("int"))
     sizes = placed.groupBy("source", "n_tokens", "_range").agg(F.count("*").alias("_n"))
     before = Window.partitionBy("source", "n_tokens").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    state = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).join(plan, ["source", "n_tokens"]).drop("_n")
+    last = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).join(plan.where("extra > 0"), ["source", "n_tokens"])
+    last = last.where("_before < extra AND extra <= _before + _n").select("source", "n_tokens", F.col("_range").alias("_last"), (F.col("extra") - F.col("_before")).alias("_within"))
+    plan = written(plan.join(last, ["source", "n_tokens"], "left"), "plan")
+    few = plan.count() <= BROADCAST_LENGTHS
+    met = placed.join(F.broadcast(plan) if few else plan, ["source", "n_tokens"])
+    edge = F.coalesce(F.col("_range") == F.col("_last"), F.lit(False))
+    apart = met.where(~edge).withColumn("copies", F.col("passes") + F.coalesce(F.col("_range") < F.col("_last"), F.lit(False)).cast("int"))
     within = Window.partitionBy("source", "n_tokens", "_range").orderBy("_h", "doc_id")
-    ranked = placed.join(state, ["source", "n_tokens", "_range"]).withColumn("_rank", F.row_number().over(within) + F.col("_before"))
-    copies = (F.col("passes") + (F.col("_rank") <= F.col("extra")).cast("int")).alias("copies")
-    return ranked.select("doc_id", "source", "n_tokens", copies).where("copies > 0")
+    ranked = met.where(edge).withColumn("copies", F.col("passes") + (F.row_number().over(within) <= F.col("_within")).cast("int"))
+    return apart.unionByName(ranked).select("doc_id", "source", "n_tokens", "copies").where("copies > 0")
 
 
 def reached_shares(drawn: DataFrame, budget: DataFrame) -> DataFrame:
-    """`source` as listed, `target_share`, `reached_share`, `budget`, `n_tokens`, `n_documents`, `n_copies`: what was really reached."""
+    """`source` as listed, `target_share`, `reached_share`, `budget`, `n_tokens`, `n_documents`, `n_copies`: what was really reached.
+
+    `exhausted`: all of the source's tokens were drawn as often as allowed; `short`: they are, and fall short of the share wished for.
+    """
     got = drawn.groupBy("source").agg(
         F.sum(F.col("n_tokens") * F.col("copies")).alias("n_tokens"), F.count("*").alias("n_documents"), F.sum("copies").alias("n_copies")
     )
     met = written(budget.join(got, "source", "left").na.fill(0, ["n_tokens", "n_documents", "n_copies"]), "reached")
     total = met.agg(F.sum("n_tokens")).first()[0] or 0
     reached = F.col("n_tokens") / F.lit(total) if total else F.lit(None).cast("double")
-    return met.select(F.col("listed").alias("source"), F.col("share").alias("target_share"), reached.alias("reached_share"), "budget", "n_tokens", "n_documents", "n_copies")
+    exhausted = F.col("n_tokens") == F.col("max_repeats") * F.col("available")
+    return met.select(
+        F.col("listed").alias("source"), F.col("share").alias("target_share"), reached.alias("reached_share"), "budget", "n_tokens", "n_documents", "n_copies",
+        exhausted.alias("exhausted"), (exhausted & (F.col("n_tokens") < F.col("wish"))).alias("short"),
+    )

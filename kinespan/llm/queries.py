@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinespan.functions.labels import action_key, age_key, whole_number_key
@@ -32,12 +32,23 @@ def p1_found(spark: SparkSession, folder: str) -> DataFrame:
     return rows.where("manifest = 'validation' AND segment_id IS NOT NULL").join(tied, "component", "left_semi").select("segment_id").distinct()
 
 
+def _proportions(spark: SparkSession, folder: str) -> list[tuple[str, float]]:
+    return [(r["split_name"], r["proportion"]) for r in table(spark, folder, "proporciones_particion").orderBy("split_name").collect()]
+
+
+def _action_and_age() -> Column:
+    return F.concat_ws("|", F.coalesce(action_key(F.col("action_code")), F.lit("?")), F.coalesce(age_key(F.col("age_bin_12m_label")), F.lit("?")))
+
+
 def p1_assignment(spark: SparkSession, folder: str) -> DataFrame:
     """Every row of both manifests with its component and its new split."""
-    wanted = [(r["split_name"], r["proportion"]) for r in table(spark, folder, "proporciones_particion").orderBy("split_name").collect()]
     rows = written(_executions(spark, folder).select("manifest", "segment_id", "excel_children", "action_code", "age_bin_12m_label", "component"), "executions")
-    label = F.concat_ws("|", F.coalesce(action_key(F.col("action_code")), F.lit("?")), F.coalesce(age_key(F.col("age_bin_12m_label")), F.lit("?")))
-    return splits.stratified_splits(rows, "component", label, wanted)
+    return splits.stratified_splits(rows, "component", _action_and_age(), _proportions(spark, folder))
+
+
+def p1_shares(spark: SparkSession, folder: str) -> DataFrame:
+    """The share of all rows that every split reached, and how far the labels' shares are off."""
+    return splits.reached_splits(p1_assignment(spark, folder), _action_and_age(), _proportions(spark, folder))
 
 
 # ---- 3: percentiles
@@ -134,11 +145,9 @@ def _mixture(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
 
 
 def p7_found(spark: SparkSession, folder: str) -> DataFrame:
-    """Sources that cannot reach their share."""
+    """Sources that cannot reach their share: those of which the draw took all it may and is short."""
     sized, budget = _mixture(spark, folder)
-    reached = mixing.reached_shares(mixing.draw(sized, budget), budget)
-    short = mixing.short_sources(budget)
-    return reached.join(short, "source", "left_semi").select("source")
+    return mixing.reached_shares(mixing.draw(sized, budget), budget).where("short").select("source")
 
 
 def p7_mixture(spark: SparkSession, folder: str) -> DataFrame:
@@ -150,7 +159,7 @@ def p7_mixture(spark: SparkSession, folder: str) -> DataFrame:
 def p7_shares(spark: SparkSession, folder: str) -> DataFrame:
     """The shares wished for and reached."""
     sized, budget = _mixture(spark, folder)
-    return mixing.reached_shares(mixing.draw(sized, budget), budget)
+    return mixing.reached_shares(mixing.draw(sized, budget), budget).drop("exhausted", "short")
 
 
 # ---- 8: languages
@@ -181,7 +190,7 @@ def p8_segments(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        p1_found, p1_assignment, p3_action_percentiles, p3_percentiles_by_day, p5_found, p5_items, p5_reviewers, p5_agreement,
+        p1_found, p1_assignment, p1_shares, p3_action_percentiles, p3_percentiles_by_day, p5_found, p5_items, p5_reviewers, p5_agreement,
         p6_ids, p6_round_trip, p7_found, p7_mixture, p7_shares, p8_found, p8_documents, p8_segments,
     )
 }

@@ -13,7 +13,7 @@ def best_sum(lengths, counts, budget):
     return max(reach)
 
 
-def test_fit_reaches_the_best_sum_or_more_than_all_but_one_token_of_it():
+def test_fit_reaches_the_best_sum():
     rng = random.Random(8)
     for _ in range(200):
         lengths = np.array(sorted(rng.sample(range(1, 40), rng.randrange(1, 7))))
@@ -22,10 +22,29 @@ def test_fit_reaches_the_best_sum_or_more_than_all_but_one_token_of_it():
         take = mixing.fit(lengths, counts, budget)
         assert (take >= 0).all() and (take <= counts).all()
         assert int((lengths * take).sum()) <= budget
-        # the even share of every length is fixed first; over what it leaves, the sum is the best there is
-        even = np.minimum(counts, np.floor(counts * min(1.0, budget / (lengths * counts).sum()))).astype(int)
-        rest = budget - int((lengths * even).sum())
-        assert int((lengths * take).sum()) == int((lengths * even).sum()) + best_sum(lengths, counts - even, rest)
+        assert int((lengths * take).sum()) == best_sum(lengths, counts, budget)
+
+
+def test_fit_reaches_the_best_sum_of_long_documents():
+    rng = random.Random(12)
+    for _ in range(200):
+        lengths = np.array(sorted(rng.sample(range(100, 40_001), rng.randrange(3, 8))))
+        counts = np.array([rng.randrange(1, 4) for _ in lengths])
+        budget = rng.randrange(0, int((lengths * counts).sum()))
+        take = mixing.fit(lengths, counts, budget)
+        assert (take >= 0).all() and (take <= counts).all() and int((lengths * take).sum()) == best_sum(lengths, counts, budget)
+    assert (np.array([7, 50_000, 70_001]) * mixing.fit(np.array([7, 50_000, 70_001]), np.array([3, 3, 3]), 275_000)).sum() == best_sum([7, 50_000, 70_001], [3, 3, 3], 275_000)
+
+
+def test_fit_of_many_documents_gives_back_of_the_even_share(monkeypatch):
+    """A budget far over the window: the sum is met, and lengths keep about the same share."""
+    monkeypatch.setattr(mixing, "WINDOW", 1000)
+    lengths = np.arange(3, 400, 2)
+    counts = np.full(len(lengths), 500)
+    budget = int((lengths * counts).sum()) // 3 + 1
+    take = mixing.fit(lengths, counts, budget)
+    assert int((lengths * take).sum()) == budget and (take <= counts).all()
+    assert abs(take / counts - 1 / 3).mean() < 0.05
 
 
 def test_fit_with_a_rest_beyond_the_window(monkeypatch):
@@ -59,7 +78,7 @@ def test_shares_caps_and_repeats(spark):
         want = min(int(weight * total), caps[key] * have[key])
         assert reached[name]["n_tokens"] == want
     assert reached["none"]["n_tokens"] == 0
-    short = {r["source"] for r in mixing.short_sources(budget).collect()}
+    short = {k for k, r in reached.items() if r["short"]}
     assert short == {n for n, k, w in (("B-I-G", "big", 0.6), ("mid", "mid", 0.25), ("small", "small", 0.15)) if caps[k] * have[k] < w * total}
     again = mixing.draw(sized.repartition(5), budget)
     assert sorted(map(tuple, again.collect())) == sorted(map(tuple, drawn.collect()))
@@ -86,6 +105,4 @@ def test_long_documents_are_given_back_where_they_miss_the_budget():
         counts = np.array([rng.randrange(1, 3) for _ in lengths])
         budget = rng.randrange(20_001, int((lengths * counts).sum()))
         take = mixing.fit(lengths, counts, budget)
-        even = np.floor(counts * (budget / (lengths * counts).sum())).astype(int)
-        rest = budget - int((lengths * even).sum())
-        assert (take <= counts).all() and int((lengths * (take - even)).sum()) == best_sum(lengths, counts - even, rest)
+        assert (take <= counts).all() and int((lengths * take).sum()) == best_sum(lengths, counts, budget)
