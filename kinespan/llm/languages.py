@@ -19,21 +19,22 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kinespan.llm.prose import stretches
+from kinespan.llm.prose import folded, stretches
 from kinespan.workspace import written
 
 #: Labelled documents of each language to which the model is fitted, about.
 SAMPLE_DOCS = 1500
 #: Labelled documents that a language needs to be told at all.
 LEAST_DOCS = 3
-#: N-grams of the model: those most frequent in the sample.
+#: N-grams of the model: those most frequent in the sample. It bounds what goes to the driver and to every task.
 MAX_GRAMS = 60_000
 #: Longest n-gram of letters; whole words count as well.
 ORDER = 4
 #: Weight of all languages' n-grams together against those of one.
 SMOOTHING = 0.02
 REFITS = 2
-EM_ROUNDS = 12
+#: Expectation-maximisation ends for a document when no proportion moves by more.
+STILL = 1e-4
 #: Gain in log-likelihood that a further language must bring, for each unit of log(words).
 PENALTY = 2.0
 #: A language counts as found in a document from so many words on.
@@ -56,8 +57,32 @@ NAMES = {
     "ro": "ron rum romanian română rumano",
     "sv": "swe swedish svenska sueco",
 }
-#: Two letters that stand for no language.
-NO_LANGUAGE = ["xx", "na", "zz"]
+#: The codes of ISO 639-1; other pairs of letters stand for no language.
+CODES = (
+    "aa ab ae af ak am an ar as av ay az ba be bg bh bi bm bn bo br bs ca ce ch co cr cs cu cv cy da de dv dz ee el en eo es et eu fa ff fi fj fo fr fy ga gd gl gn gu gv ha he hi ho hr ht hu hy hz "
+    "ia id ie ig ii ik io is it iu ja jv ka kg ki kj kk kl km kn ko kr ks ku kv kw ky la lb lg li ln lo lt lu lv mg mh mi mk ml mn mr ms mt my na nb nd ne ng nl nn no nr nv ny oc oj om or os pa pi pl ps pt qu "
+    "rm rn ro ru rw sa sc sd se sg si sk sl sm sn so sq sr ss st su sv sw ta te tg th ti tk tl tn to tr ts tt tw ty ug uk ur uz ve vi vo wa wo xh yi yo za zh zu"
+).split()
+#: Fixed values: `na` is Nauru's language, but in labels says that there is none.
+NO_LANGUAGE = ["na"]
+#: Frequent words by which languages are told apart where no label names one.
+SEEDS = {
+    "de": "der die das und nicht mit ist ein eine für auf wird von den dem",
+    "en": "the and of to is for that with this from are not it as be",
+    "es": "el los las una y por con para del que se es en como más",
+    "fr": "le les des une et dans pour que est sur avec pas du au ne",
+    "it": "il gli della che di una per con non sono dei nel alla più è",
+    "pt": "os das uma e não com para do da em que ao mais pelo são",
+    "ca": "els les una i amb per del que es dels als és més no en",
+    "nl": "het een en van niet met voor zijn dat op de wordt aan bij ook",
+    "pl": "nie jest do na się że przez oraz dla z w jak od po tym",
+    "ro": "și nu este pentru care din cu la pe sunt mai un o cel prin",
+    "sv": "och att det som en är för inte med av på till den ett om",
+}
+#: Seed words that a sentence needs of one language, more than of any other, to count as its.
+LEAST_SEEDS = 2
+#: Share of such sentences that a language needs to be told where no label names one: fewer are chance.
+SEED_SHARE = 0.005
 
 
 def named_languages(label: Column) -> Column:
@@ -68,7 +93,7 @@ def named_languages(label: Column) -> Column:
 
     def code(word: Column) -> Column:
         first = F.regexp_extract(word, r"^(\p{L}+)", 1)
-        two = F.when(first.rlike("^[a-z]{2}$") & ~first.isin(NO_LANGUAGE), first)
+        two = F.when(first.isin(CODES) & ~first.isin(NO_LANGUAGE), first)
         return F.coalesce(F.try_element_at(names, first), two)
 
     return F.array_sort(F.array_distinct(F.filter(F.transform(words, code), lambda x: x.isNotNull())))
@@ -124,20 +149,29 @@ def mixtures(score: np.ndarray, size: np.ndarray, doc: np.ndarray) -> tuple[np.n
     """
     n_docs, n_langs = int(doc[-1]) + 1, score.shape[1]
     like = np.exp(score - score.max(axis=1, keepdims=True))
-    starts = np.searchsorted(doc, np.arange(n_docs))
+    starts, ends = np.searchsorted(doc, np.arange(n_docs)), np.searchsorted(doc, np.arange(n_docs), side="right")
     words = np.add.reduceat(size, starts)
 
-    def fitted(theta: np.ndarray, rounds: int) -> tuple[np.ndarray, np.ndarray]:
-        for _ in range(rounds):
-            p = theta[doc] * like
+    def fitted(theta: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Proportions that stand still, and the posteriors by them; a document that stands still takes no part in further rounds."""
+        theta, going = theta.copy(), np.arange(n_docs)
+        while len(going):
+            rows = np.concatenate([np.arange(starts[d], ends[d]) for d in going]) if len(going) < n_docs else slice(None)
+            count = ends[going] - starts[going]
+            own, first = np.repeat(np.arange(len(going)), count), np.cumsum(count) - count
+            p = theta[going][own] * like[rows]
             p /= np.maximum(p.sum(axis=1, keepdims=True), 1e-300)
-            theta = np.add.reduceat(p * size[:, None], starts, axis=0) / words[:, None]
-        return theta, p
+            now = np.add.reduceat(p * size[rows][:, None], first, axis=0) / words[going][:, None]
+            moved = np.abs(now - theta[going]).max(axis=1)
+            theta[going] = now
+            going = going[moved > STILL]
+        p = theta[doc] * like
+        return theta, p / np.maximum(p.sum(axis=1, keepdims=True), 1e-300)
 
     def likelihood(theta: np.ndarray) -> np.ndarray:
         return np.add.reduceat(np.log(np.maximum((theta[doc] * like).sum(axis=1), 1e-300)), starts)
 
-    theta, p = fitted(np.full((n_docs, n_langs), 1 / n_langs), EM_ROUNDS)
+    theta, _ = fitted(np.full((n_docs, n_langs), 1 / n_langs))
     price = PENALTY * np.log(words + 1)
     settled = np.zeros(n_docs, bool)
     for _ in range(n_langs - 1):
@@ -151,7 +185,7 @@ def mixtures(score: np.ndarray, size: np.ndarray, doc: np.ndarray) -> tuple[np.n
         if settled.all():
             break
         theta[drop] = trial[drop]
-    return fitted(theta, 3)
+    return fitted(theta)
 
 
 def _sentences(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -181,19 +215,43 @@ def _gram_counts(model: Model | None, languages: list[str]) -> Callable:
     return run
 
 
+def _seeded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Sentences with the language whose seed words they have most of, if they have enough and no other has as many."""
+    of = {folded(w): [c for c, words in SEEDS.items() if folded(w) in map(folded, words.split())] for words in SEEDS.values() for w in words.split()}
+    for batch in batches:
+        rows = []
+        for text in batch["text"]:
+            for s in stretches(text):
+                told = Counter(c for w in s.words for c in of.get(w, ())).most_common(2)
+                if told and told[0][1] >= LEAST_SEEDS and (len(told) == 1 or told[1][1] < told[0][1]):
+                    rows.append((told[0][0], " ".join(s.words)))
+        yield pd.DataFrame(rows, columns=["code", "words"])
+
+
 def fitted_model(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> Model | None:
-    """A model of all languages that single labels name; None if there are none."""
-    codes = named_languages(F.col(lang))
-    labelled = documents.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), codes.alias("codes")).where(F.size("codes") == 1)
-    labelled = labelled.where(F.col("text").isNotNull()).withColumn("code", F.col("codes")[0])
-    counted = labelled.groupBy("code").agg(F.count("*").alias("n")).where(F.col("n") >= LEAST_DOCS).orderBy(F.desc("n")).limit(64).collect()
-    languages = sorted(r["code"] for r in counted)
+    """A model of all languages that single labels name; without any, of those whose seed words the texts have; None without those either.
+
+    The model is fitted to a sample: about SAMPLE_DOCS labelled documents of a language, or, where no
+    document is labelled, as many of all for each language with seed words. The languages are at most those
+    of ISO 639-1, so the model has at most MAX_GRAMS rows of as many numbers.
+    """
+    texts = documents.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), named_languages(F.col(lang)).alias("codes")).where(F.col("text").isNotNull())
+    labelled = texts.where(F.size("codes") == 1).withColumn("code", F.col("codes")[0])
+    counted = labelled.groupBy("code").agg(F.count("*").alias("n")).where(F.col("n") >= LEAST_DOCS).collect()
+    place = F.pmod(F.xxhash64(F.lit("languages"), "doc_id"), F.lit(1_000_000)) / 1_000_000
+    if counted:
+        share = F.create_map(*[F.lit(x) for r in counted for x in (r["code"], SAMPLE_DOCS / r["n"])])
+        chosen = labelled.where(place < F.try_element_at(share, F.col("code"))).select("code", "text")
+        sample = written(chosen.mapInPandas(_sentences, "code string, words string"), "sentences")
+        languages = sorted(r["code"] for r in counted)
+    else:
+        chosen = texts.where(place < F.lit(SAMPLE_DOCS * len(SEEDS) / max(texts.count(), 1))).select("text")
+        sample = written(chosen.mapInPandas(_seeded, "code string, words string"), "sentences")
+        seeded = {r["code"]: r["n"] for r in sample.groupBy("code").agg(F.count("*").alias("n")).collect()}
+        languages = sorted(c for c, n in seeded.items() if n >= max(LEAST_DOCS, SEED_SHARE * sum(seeded.values())))
+        sample = sample.where(F.col("code").isin(languages))
     if not languages:
         return None
-    share = F.create_map(*[F.lit(x) for r in counted for x in (r["code"], SAMPLE_DOCS / r["n"])])
-    place = F.pmod(F.xxhash64(F.lit("languages"), "doc_id"), F.lit(1_000_000)) / 1_000_000
-    chosen = labelled.where(place < F.try_element_at(share, F.col("code"))).select("code", "text")
-    sample = written(chosen.mapInPandas(_sentences, "code string, words string"), "sentences")
     model = None
     for _ in range(1 + REFITS):
         counts = sample.mapInPandas(_gram_counts(model, languages), "code string, gram string, n long").groupBy("gram")
@@ -254,8 +312,7 @@ def _infer(model: Model | None) -> Callable:
 def languages_of(documents: DataFrame, key: list[str], text: str = "text", model: Model | None = None) -> DataFrame:
     """The columns `key` with the words of prose, the languages (most words first) and the stretches of each document.
 
-    Offsets of stretches count code points and are those of whole lines or, within a block of lines,
-    proportional to the sentence's place. A document without prose, with an empty or a null text, or
+    Offsets of stretches count code points of the text as it is stored. A document without prose, with an empty or a null text, or
     without a model, has no languages. Columns of `key` named like a result are replaced by it. Repeated rows come out repeated; an empty table gives no rows.
     """
     rows = documents.select(F.struct(*[F.col(f"`{c}`") for c in key]).alias("_key"), F.col(f"`{text}`").cast("string").alias("_text"))

@@ -5,7 +5,9 @@ from __future__ import annotations
 import html
 import re
 import unicodedata
+from bisect import bisect_right
 from collections.abc import Iterator
+from itertools import accumulate
 from typing import NamedTuple
 
 #: A line of prose: comment marks or a paragraph's tag, then text without the signs of code.
@@ -70,46 +72,53 @@ def cleared(text: str) -> str:
     return text
 
 
-def lines(text: str) -> Iterator[tuple[int, int, str]]:
-    """Start, end and content of each line that may be prose."""
+def lines(text: str) -> Iterator[tuple[int, int, int, str]]:
+    """Start and end of each line that may be prose, and where its content starts; the content is as long as in the text."""
     for m in LINE.finditer(cleared(text)):
-        body = m.group(1)
+        body, at = m.group(1), m.start(1)
         call = CALL.match(body)
         if call:
-            body = body[call.end() : body.rindex(call.group(1))]
+            body, at = body[call.end() : body.rindex(call.group(1))], at + call.end()
         if "`" in body or "(" in body:
-            body = ASIDE.sub(" ", body)
-        if "&" in body:
-            body = html.unescape(body)
-        if not CODE.search(body):
-            yield m.start(), m.end(), body
+            body = ASIDE.sub(lambda x: " " * len(x[0]), body)
+        if not CODE.search(html.unescape(body) if "&" in body else body):
+            yield m.start(), m.end(), at, body
 
 
 def stretches(text: str) -> list[Stretch]:
-    """The sentences of all prose in `text`, in order. Lines that follow each other form a block; sentences end within blocks only."""
+    """The sentences of all prose in `text`, in order. Lines that follow each other form a block; sentences end within blocks only.
+
+    Offsets count the code points of `text` as it is, whatever its line ends, and span the sentence from
+    its first to its last word.
+    """
     found: list[Stretch] = []
-    text = text.replace("\r\n", "\n").replace("\r", "\n") if "\r" in text else text
-    block: list[tuple[int, int, str]] = []
+    # line ends of other systems, without a change of length
+    plain = text.replace("\r\n", " \n").replace("\r", "\n") if "\r" in text else text
+    block: list[tuple[int, str]] = []
 
     def close() -> None:
         if not block:
             return
-        whole = folded(repaired(" ".join(b for _, _, b in block)))
-        sentences = [(s, WORD.findall(s)) for s in SENTENCE.split(whole)]
-        if sum(len(w) for _, w in sentences) >= MIN_BLOCK:
-            start, end, size = block[0][0], block[-1][1], max(1, len(whole))
-            at = 0
-            for s, words in sentences:
-                if words:
-                    found.append(Stretch(start + (end - start) * at // size, start + (end - start) * (at + len(s)) // size, words))
-                at += len(s) + 1
+        whole = " ".join(b for _, b in block)
+        starts = [0, *accumulate(len(b) + 1 for _, b in block)]
+        place = lambda i: block[n := bisect_right(starts, i) - 1][0] + i - starts[n]
+        sentences, at = [], 0
+        for end, after in [*((m.start(), m.end()) for m in SENTENCE.finditer(whole)), (len(whole), len(whole))]:
+            words = WORD.findall(folded(repaired(html.unescape(whole[at:end]))))
+            if words:
+                inner = whole[at:end]
+                first, last = at + len(inner) - len(inner.lstrip()), at + len(inner.rstrip())
+                sentences.append(Stretch(place(first), place(last - 1) + 1, words))
+            at = after
+        if sum(len(s.words) for s in sentences) >= MIN_BLOCK:
+            found.extend(sentences)
         block.clear()
 
     last = -2
-    for start, end, body in lines(text):
+    for start, end, at, body in lines(plain):
         if start > last + 1:
             close()
-        block.append((start, end, body))
+        block.append((at, body))
         last = end
     close()
     return found

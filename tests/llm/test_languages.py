@@ -62,12 +62,52 @@ def test_mixed_document(spark, model):
 
 
 def test_no_labels_and_empty(spark, model):
-    df = spark.createDataFrame([(1, "# The helper sorts the list of names.", None)], "doc_id long, text string, lang string")
+    df = spark.createDataFrame([(1, "# Helpers sort lists of names.", None)], "doc_id long, text string, lang string")
     assert languages.fitted_model(df) is None
     assert languages.languages_of(df, ["doc_id"], "text", None).first()["languages"] == []
     assert languages.languages_of(df.where("false"), ["doc_id"], "text", model).count() == 0
 
 
+def test_a_corpus_without_labels_is_told_by_seed_words(spark, model):
+    bare = table(spark, FOLDER, "documents").withColumn("lang", F.lit(None).cast("string"))
+    alone = languages.fitted_model(bare)
+    assert set(model.languages) <= set(alone.languages)
+    told = lambda m: {(r["doc_id"], x["lang"]) for r in languages.languages_of(bare, ["doc_id"], "text", m).collect() for x in r["languages"] if x["n_words"] >= 25}
+    with_labels, without = told(model), told(alone)
+    assert len(with_labels & without) / len(with_labels | without) > 0.94
+
+
+@pytest.mark.parametrize("end", ["\n", "\r\n", "\r"])
+def test_offsets_are_those_of_the_stored_text(end):
+    text = end.join([
+        "x = 1", "# The helper sorts the list of names. It is", "# called `a_b` by the reader &amp; the writer.", "def f(a):", "    return a[1]", "", "# maÃ±ana guardamos los cuadros vacÃ\xados en la carpeta.",
+        'print("Der Leser zeigt die")', 'print("langsamen Bilder nicht.")', "y = 2",
+    ])
+    found = stretches(text)
+    assert len(found) == 4
+    for s, first, last in zip(found, ("The", "It", "ma", "Der"), ("names.", "writer.", "carpeta.", "nicht.")):
+        part = text[s.start : s.end]
+        assert part.startswith(first) and part.endswith(last)
+    inside = [w for s in found[:2] for w in s.words]
+    assert inside == "the helper sorts the list of names it is called by the reader the writer".split()
+
+
+def test_segments_hold_their_words(spark, model):
+    """Of every segment of the whole table the text at its offsets has at least its words, in order of the text and without overlap."""
+    documents = table(spark, FOLDER, "documents")
+    found = languages.languages_of(documents, ["doc_id"], "text", model).join(documents.select("doc_id", "text"), "doc_id").collect()
+    seen = 0
+    for r in found:
+        last = 0
+        for s in r["segments"]:
+            assert last <= s["start"] < s["end"] <= len(r["text"])
+            last, seen = s["end"], seen + 1
+            part = folded(repaired(r["text"][s["start"] : s["end"]]))
+            assert len(part.split()) >= s["n_words"] * 0.5 and part[0].strip() and part[-1].strip()
+        assert sum(s["n_words"] for s in r["segments"]) == r["n_words"] == sum(x["n_words"] for x in r["languages"])
+    assert seen > 500
+
+
 def test_mixture_drops_a_language_without_evidence():
     score = np.log(np.array([[0.9, 0.1, 1e-6], [0.8, 0.2, 1e-6], [1e-6, 1e-6, 0.9]]))  # two sentences alike, one other
     theta, p = languages.mixtures(score * 5, np.array([10.0, 10.0, 10.0]), np.array([0, 0, 1]))
