@@ -81,6 +81,8 @@ def lines(text: str) -> Iterator[tuple[int, int, int, str]]:
             body, at = body[call.end() : body.rindex(call.group(1))], at + call.end()
         if "`" in body or "(" in body:
             body = ASIDE.sub(lambda x: " " * len(x[0]), body)
+        if '"' in body and len(WORD.findall(body)) > 2 * len(body.split()):
+            continue  # data: what stands between its quotes is not set apart by blanks
         if not CODE.search(html.unescape(body) if "&" in body else body):
             yield m.start(), m.end(), at, body
 

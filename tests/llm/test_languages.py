@@ -132,4 +132,6 @@ def test_signs_within_a_sentence_do_not_lose_its_line():
     assert [" ".join(s.words) for s in found] == [
         "the helper sorts the names the reader shows them", "see the long guide for the rest of it", "write to before the next of the meetings", "the field holds the name of it",
     ]
-    assert [text[s.start : s.end].count("#") for s in found] == [1, 1, 1, 1]
+    assert [text[s.start : s.end].split()[0] for s in found] == ["The", "See", "Write", "The"]
+    assert [text[s.start : s.end].split()[-1] for s in found] == ["them.", "it.", "meetings.", "it."]
+    assert stretches('[{"id":1,"k":"ab","v":0.7},\n{"id":2,"k":"cd","v":0.5},\n{"id":3,"k":"ef","v":0.1}]') == []
