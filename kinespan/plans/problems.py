@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinespan.functions.labels import action_key, age_key
-from kinespan.operators.change_feed import DELETED, BucketedTable, review_changes
+from kinespan.operators.change_feed import DELETED, BucketedTable, buckets_for, review_changes
 from kinespan.operators.skewed_groups import dense_group_statistics, heavy_groups
-from kinespan.sources.tables import table
+from kinespan.sources.tables import stored_bytes, table
 from kinespan.workspace import new_path
 
 KEYS = ["action_code", "age_bin_12m_label"]
@@ -37,8 +37,9 @@ def p2_found(spark: SparkSession, folder: str) -> DataFrame:
 
 def present_reviews(spark: SparkSession, folder: str, batches: int = 2) -> DataFrame:
     """The present review table: the log applied to an empty table in `batches` runs of line numbers."""
-    changes = review_changes(table(spark, folder, "registro_revision_visual"))
-    current = BucketedTable(spark, new_path(spark, "reviews"), ["reviewer_id", "reference_id"])
+    log = table(spark, folder, "registro_revision_visual")
+    changes = review_changes(log)
+    current = BucketedTable(spark, new_path(spark, "reviews"), ["reviewer_id", "reference_id"], buckets_for(stored_bytes(log)))
     low, high = changes.agg(F.min("_arrival"), F.max("_arrival")).first()
     if low is not None:
         nr = F.floor((F.col("_arrival") - low) * batches / (high - low + 1))

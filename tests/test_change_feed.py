@@ -2,7 +2,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from kinespan.operators.change_feed import DELETED, BucketedTable, operation, review_changes
+from kinespan.operators.change_feed import DELETED, BucketedTable, buckets_for, last_changes, operation, review_changes
 
 SCHEMA = "line_no long, op string, reviewer_id string, reference_id string, revision long, answers struct<final_status:string,actor_identity:string,failure_reasons:array<string>>"
 OPS = ["insert", " Update", "U", "i", "D", "delete ", "Delete", "odd", None]
@@ -65,8 +65,9 @@ def test_a_version_without_its_mark_is_not_read(spark, tmp_path):
     table = made(spark, tmp_path)
     changes = review_changes(spark.createDataFrame([(1, "i", "r", "S", 1, ("PASS", None, None))], SCHEMA))
     table.apply(changes)
-    (tmp_path / "table/manifest/2").mkdir()
+    (tmp_path / "table/manifest/2.json").write_text('{"buckets": 8, "fol')
     assert table.version() == 1 and present(table, changes) == {("r", "S"): (1, "PASS")}
+    assert table.apply(changes) == 3 and present(table, changes) == {("r", "S"): (1, "PASS")}
 
 
 def test_late_change_does_not_bring_back_a_deleted_row(spark, tmp_path):
@@ -77,6 +78,47 @@ def test_late_change_does_not_bring_back_a_deleted_row(spark, tmp_path):
     assert present(table, changes) == {}
 
 
+def test_a_second_writer_merges_again(spark, tmp_path, monkeypatch):
+    """Another writer commits while this one has its files ready: both writers' changes are there."""
+    schema_changes = review_changes(spark.createDataFrame([(n, "i", f"r{n}", "S", 1, ("PASS", None, None)) for n in range(40)], SCHEMA))
+    table, other = made(spark, tmp_path), made(spark, tmp_path)
+    first, commit = schema_changes.where("_arrival < 20"), table._commit
+
+    def late(*args):
+        monkeypatch.setattr(table, "_commit", commit)
+        other.apply(schema_changes.where("_arrival >= 20"))
+        return commit(*args)
+
+    monkeypatch.setattr(table, "_commit", late)
+    assert table.apply(first) == 2
+    assert len(present(table, schema_changes)) == 40 and table.versions() == [1, 2]
+
+
+def test_superseded_files_go(spark, tmp_path):
+    table = made(spark, tmp_path)
+    lines = [(n, "u", "r", "S", n, ("PASS", None, None)) for n in range(5)]
+    changes = review_changes(spark.createDataFrame(lines, SCHEMA))
+    for n in range(5):
+        table.apply(changes.where(F.col("_arrival") == n))
+    assert table.versions() == [4, 5] and len(list((tmp_path / "table/data").iterdir())) == 2 and not list((tmp_path / "table/staged").iterdir())
+    assert present(table, changes) == {("r", "S"): (4, "PASS")}
+
+
+def test_the_base_is_not_shuffled(spark, tmp_path):
+    changes = review_changes(spark.createDataFrame(log(), SCHEMA))
+    table = made(spark, tmp_path)
+    table.apply(changes.where("_arrival < 300"))
+    last = last_changes(changes.where("reviewer_id IS NOT NULL"), table.keys).withColumn("_bucket", F.pmod(F.hash(*table.keys), F.lit(8)))
+    table._write(last.repartition(8, *table.keys), str(tmp_path / "staged"), 8)
+    merged = table._merged(str(tmp_path / "staged"), last.schema, table.manifest(), set(range(8)), 8)
+    plan = merged._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Exchange" not in plan
+
+
+def test_buckets_follow_the_size():
+    assert buckets_for(0) == 8 and buckets_for(9 * (128 << 20)) == 16 and buckets_for(10**14) >= 65536
+
+
 def test_empty_feed(spark, tmp_path):
     changes = review_changes(spark.createDataFrame([], SCHEMA))
     table = made(spark, tmp_path)
