@@ -11,9 +11,10 @@ from __future__ import annotations
 from functools import reduce
 from math import log
 
-from pyspark.sql import Column, DataFrame, Observation
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
+from kinespan.operators.hot_join import hot_values, unique_join
 from kinespan.workspace import discard, written
 
 #: Tables of annotators' labels of at most this many rows are broadcast; larger ones are joined with salted edges.
@@ -21,9 +22,12 @@ BROADCAST_HABITS = 50_000
 SALTS = 16
 #: Labels that a new annotator is supposed to have given as all annotators did on average.
 PRIOR = 4.0
-MAX_ROUNDS = 60
+#: Classes that are accepted: what is summed up by label and class goes to the driver.
+MAX_CLASSES = 30
 #: The rounds end when no message to an annotator moves by more.
 STILL = 0.005
+#: Rounds after which messages go but half of the way, so that they can't swing for ever; rounds after which it is an error that they still move.
+DAMPED, MAX_ROUNDS = 20, 200
 
 
 def _sum(columns: list[Column]) -> Column:
@@ -36,37 +40,37 @@ def _shares(odds: list[Column]) -> list[Column]:
     return [F.exp(o - top) / _sum([F.exp(x - top) for x in odds]) for o in odds]
 
 
-def _habits(edges: DataFrame, classes: list[str]) -> tuple[DataFrame, int]:
-    """What annotators do: per annotator and label, sums over their edges by class, all they are compared with, and how many rows that is.
+def _masses(classes: list[str]) -> list[Column]:
+    """Sums of the messages by label and class, to be observed where messages are written."""
+    return [F.sum(F.when(F.col("label") == x, F.col(f"m{c}")).otherwise(0.0)).alias(f"m{i}_{c}") for i, x in enumerate(classes) for c in range(len(classes))]
 
-    `a{c}`: expected labels on items of class c, `all{c}` the same over all labels, `n` and `n_all` labels;
+
+def _habits(edges: DataFrame, classes: list[str], n: list[int], mass: dict[str, float]) -> DataFrame:
+    """What annotators do: per annotator and label, sums over their edges by class, and all they are compared with.
+
+    `n`: labels of each kind, `mass`: observed `_masses`. `a{c}`: expected labels on items of class c, `all{c}` the same over all labels, `n` and `n_all` labels;
     `u{c}`, `v{c}`: how often anybody gives this label to the class and to the rest; `q{c}`: the class's log-odds.
     """
     k = range(len(classes))
-    own = written(edges.groupBy("annotator", "label").agg(F.count("*").alias("n"), *[F.sum(f"m{c}").alias(f"a{c}") for c in k]), "habits")
-    by_label = {r["label"]: r for r in own.groupBy("label").agg(F.count("*").alias("rows"), F.sum("n").alias("n"), *[F.sum(f"a{c}").alias(f"a{c}") for c in k]).collect()}
-    total = sum(r["n"] for r in by_label.values())
-    columns: dict[str, Column] = {}
+    own = edges.groupBy("annotator", "label").agg(F.count("*").alias("n"), *[F.sum(f"m{c}").alias(f"a{c}") for c in k])
+    whole = Window.partitionBy("annotator")  # as many rows as there are classes
+    columns: dict[str, Column] = {"n_all": F.sum("n").over(whole)} | {f"all{c}": F.sum(f"a{c}").over(whole) for c in k}
+    total = max(sum(n), 1)
     for c in k:
-        mass = {x: by_label[x][f"a{c}"] if x in by_label else 0.0 for x in classes}
-        rest = {x: (by_label[x]["n"] if x in by_label else 0) - mass[x] for x in classes}
+        to_class = [mass.get(f"m{x}_{c}") or 0.0 for x in k]
+        to_rest = [n[x] - to_class[x] for x in k]
+        p = min(max(sum(to_class) / total, 1e-4), 1 - 1e-4)
         # one label of each kind beforehand, three where label and class agree
-        to_class = {x: mass[x] + (3.0 if x == classes[c] else 1.0) for x in classes}
-        to_rest = {x: rest[x] + 1.0 for x in classes}
-        for name, sizes in ((f"u{c}", to_class), (f"v{c}", to_rest)):
-            columns[name] = F.element_at(F.create_map(*[F.lit(y) for x in classes for y in (x, sizes[x] / sum(sizes.values()))]), F.col("label"))
-        p = min(max(sum(mass.values()) / max(total, 1), 1e-4), 1 - 1e-4)
+        for name, sizes in ((f"u{c}", [m + (3.0 if x == c else 1.0) for x, m in enumerate(to_class)]), (f"v{c}", [m + 1.0 for m in to_rest])):
+            columns[name] = F.element_at(F.create_map(*[F.lit(y) for x in k for y in (classes[x], sizes[x] / sum(sizes))]), F.col("label"))
         columns[f"q{c}"] = F.lit(log(p / (1 - p)))
-    all_labels = own.groupBy(F.col("annotator").alias("_of")).agg(F.sum("n").alias("n_all"), *[F.sum(f"a{c}").alias(f"all{c}") for c in k])
-    met = own.join(all_labels, F.col("annotator") == F.col("_of")).drop("_of")
-    return written(met.withColumns(columns), "habits"), sum(r["rows"] for r in by_label.values())
+    return own.withColumns(columns)
 
 
-def _to_items(edges: DataFrame, classes: list[str]) -> DataFrame:
+def _to_items(edges: DataFrame, classes: list[str], habits: DataFrame, few: bool) -> DataFrame:
     """`edges` with `w{c}`, the annotator's log-odds for class c by its label here, from its other edges, and `q{c}`."""
     k = range(len(classes))
-    habits, rows = _habits(edges, classes)
-    if rows <= BROADCAST_HABITS:
+    if few:
         met = edges.join(F.broadcast(habits), ["annotator", "label"])
     else:
         salted = habits.withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
@@ -97,32 +101,40 @@ def consensus(labels: DataFrame, item: str, annotator: str, label: str, classes:
     Equal odds go to the class named first. An empty table gives no rows.
     """
     k = range(len(classes))
+    if not 1 <= len(classes) <= MAX_CLASSES:
+        raise ValueError(f"1 to {MAX_CLASSES} classes")
     edges = labels.select(F.col(item).cast("string").alias("item"), F.col(annotator).cast("string").alias("annotator"), F.col(label).cast("string").alias("label"))
     edges = written(edges.where(F.col("label").isin(classes) & F.col("item").isNotNull() & F.col("annotator").isNotNull()).distinct(), "labels")
     votes = [F.count_if(F.col("label") == c).alias(f"v{x}") for x, c in enumerate(classes)]
     tally = written(edges.groupBy("item").agg(F.count("*").alias("n"), *votes), "votes")
-    base = edges.agg(*[F.avg((F.col("label") == c).cast("double")).alias(f"c{x}") for x, c in enumerate(classes)]).first()
-    share = [min(max(base[f"c{x}"] or 0.0, 1e-3), 1 - 1e-3) for x in k]
+    seen = edges.agg(F.count_distinct("annotator").alias("annotators"), *votes).first()
+    n = [seen[f"v{x}"] for x in k]
+    few, hot = seen["annotators"] * len(classes) <= BROADCAST_HABITS, hot_values(tally, "item")
+    share = [min(max(n[x] / max(sum(n), 1), 1e-3), 1 - 1e-3) for x in k]
     own = [(F.col("label") == c).cast("double") for c in classes]
-    start = edges.join(tally, "item").select(
+    start = unique_join(edges, tally, "item", hot, "inner").select(
         "item", "annotator", "label", *[((F.col(f"v{x}") - own[x] + share[x]) / F.col("n")).alias(f"m{x}") for x in k]
     )
-    state = written(start, "messages")
-    for _ in range(MAX_ROUNDS):
-        weighed = _to_items(state, classes)
-        scores = _scores(weighed, classes)
-        fresh = weighed.join(scores, "item")
+    told = Observation()
+    state = written(start.observe(told, *_masses(classes)), "messages")
+    for nr in range(MAX_ROUNDS):
+        weighed = _to_items(state, classes, _habits(state, classes, n, told.get), few)
+        fresh = unique_join(weighed, _scores(weighed, classes), "item", hot, "inner")
         other = _shares([F.col(f"s{c}") - F.col(f"w{c}") for c in k])
-        moved = F.greatest(*[F.abs(other[c] - F.col(f"m{c}")) for c in k])
+        if nr >= DAMPED:
+            other = [(o + F.col(f"m{c}")) / 2 for c, o in enumerate(other)]
+        moved = F.greatest(*[F.abs(other[c] - F.col(f"m{c}")) for c in k]) if len(classes) > 1 else F.abs(other[0] - F.col("m0"))
         fresh = fresh.select("item", "annotator", "label", *[other[c].alias(f"m{c}") for c in k], moved.alias("moved"))
-        seen = Observation()
-        after = written(fresh.observe(seen, F.max("moved").alias("far")), "messages")
-        far = seen.get["far"]
+        told = Observation()
+        after = written(fresh.observe(told, F.max("moved").alias("far"), *_masses(classes)), "messages")
+        far = told.get["far"]
         discard(state)
         state = after
         if far is None or far <= STILL:
             break
-    scores = _scores(_to_items(state, classes), classes)
+    else:
+        raise RuntimeError(f"messages still move after {MAX_ROUNDS} rounds")
+    scores = _scores(_to_items(state, classes, _habits(state, classes, n, told.get), few), classes)
     p = [x.alias(f"p{c}") for c, x in enumerate(_shares([F.col(f"s{c}") for c in k]))]
     best = F.element_at(F.array(*map(F.lit, classes)), F.array_position(F.array(*[F.col(f"p{c}") for c in k]), F.greatest(*[F.col(f"p{c}") for c in k])).cast("int"))
     agree = _sum([F.col(f"v{x}") * (F.col(f"v{x}") - 1) for x in k])

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kinespan.workspace import written
+from kinespan.workspace import discard, written
 
 #: Parts that a pass makes of an interval: it does the work of eight halvings.
 FANOUT = 256
@@ -40,13 +40,26 @@ def cell_counts(values: DataFrame, intervals: DataFrame, n_intervals: int, by: l
         met = values.join(F.broadcast(intervals), "_g").where(inside)
     else:
         salted = intervals.withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        met = values.withColumn("_s", F.pmod(F.xxhash64("_v", *by), F.lit(SALTS)).cast("int")).join(salted, ["_g", "_s"]).where(inside)
-    cell = F.least(F.lit(FANOUT - 1), F.floor((F.col("_v") - F.col("lo")) / (F.col("hi") - F.col("lo")) * FANOUT)).cast("int")
+        met = values.withColumn("_s", (F.rand(7) * SALTS).cast("int")).join(salted, ["_g", "_s"]).where(inside)
+    width = F.col("hi") - F.col("lo")
+    place = F.when(width < float("inf"), (F.col("_v") - F.col("lo")) / width).otherwise((F.col("_v") / 2 - F.col("lo") / 2) / (F.col("hi") / 2 - F.col("lo") / 2))
+    cell = F.least(F.lit(FANOUT - 1), F.floor(place * FANOUT)).cast("int")
     return met.groupBy("_g", "lo", "hi", cell.alias("cell"), *by).agg(
         F.count("*").alias("n"), F.min("_v").alias("least"), F.max("_v").alias("most")
     )
 
 
+def within(values: DataFrame, intervals: DataFrame, n_intervals: int) -> DataFrame:
+    """The rows of `values` in any interval of their group, each once: all that later passes need."""
+    lists = intervals.groupBy("_g").agg(F.collect_list(F.struct("lo", "hi")).alias("_in"))  # two for each wanted percentile at most
+    if n_intervals <= BROADCAST_ROWS:
+        met = values.join(F.broadcast(lists), "_g")
+    else:
+        salted = lists.withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        met = values.withColumn("_s", (F.rand(7) * SALTS).cast("int")).join(salted, ["_g", "_s"]).drop("_s")
+    return met.where(F.exists("_in", lambda i: (F.col("_v") >= i["lo"]) & (F.col("_v") <= i["hi"]))).drop("_in")
+
+
 def narrowed(open_: DataFrame, counts: DataFrame) -> DataFrame:
     """The open ranks (`_g`, `rank`, `lo`, `hi`, `below`) with the cell of their interval that holds them."""
     running = Window.partitionBy("_g", "lo", "hi").orderBy("cell").rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -65,7 +78,7 @@ def percentiles(
 
     Linear interpolation between neighbouring ranks, every row counting. The value is exact for
     `tolerance` 0, else off by at most `tolerance`, since intervals no wider than it are left as they
-    are and answered by their lower end. Values that are null, NaN, infinite or negative do not count;
+    are and answered by their lower end. Values that are null, NaN or infinite do not count;
     rows of a null group neither. Groups without a value, and empty tables, give no rows. With `part`
     every pass counts each part of the data apart and then combines the parts' counts.
     """
@@ -74,7 +87,7 @@ def percentiles(
     by = ["_part"] if part is not None else []
     number = value.cast("double")
     values = rows.select(group.alias("_g"), number.alias("_v"), *([part.alias("_part")] if by else []))
-    values = values.where(F.col("_g").isNotNull() & (F.col("_v") >= 0) & (F.col("_v") < F.lit(float("inf"))))
+    values = values.where(F.col("_g").isNotNull() & (F.abs("_v") < F.lit(float("inf"))))
     values = written(values, "values")
 
     whole = summary_counts(values, by)
@@ -89,17 +102,23 @@ def percentiles(
     state = written(ranks.withColumn("below", F.lit(0).cast("long")), "ranks")
     wide = (F.col("hi") - F.col("lo")) > tolerance
     resolved = [state.where(~wide)]
-    for _ in range(MAX_PASSES):
+    rows_left = values
+    for nr in range(MAX_PASSES):
         open_ = state.where(wide)
         n_open = open_.count()
         if not n_open:
             break
         intervals = open_.select("_g", "lo", "hi").distinct()
-        counts = cell_counts(values, intervals, n_open, by)
+        if nr == 1:
+            # the first pass left each rank a small part of the values; what lies outside has been counted
+            rows_left = written(within(values, intervals, n_open), "values")
+            discard(values)
+        counts = cell_counts(rows_left, intervals, n_open, by)
         state = written(narrowed(open_, combined(counts) if by else counts), "ranks")
         resolved.append(state.where(~wide))
     else:
         raise RuntimeError(f"not resolved in {MAX_PASSES} passes")
+    discard(rows_left)
     found = resolved[0]
     for more in resolved[1:]:
         found = found.unionByName(more)

@@ -56,15 +56,18 @@ def p1_shares(spark: SparkSession, folder: str) -> DataFrame:
 WANTED = [0.01, 0.10, 0.25, 0.50, 0.75, 0.90, 0.99]
 
 
+#: Parts of which the actions are broadcast; with more, only rows without an action of their own are joined.
+BROADCAST_PARTS = 100_000
+
+
 def _distances(spark: SparkSession, folder: str) -> DataFrame:
-    """`action_code`, `distance`, `day` of every stored row; the action from the index where the row has none."""
-    pairs = table(spark, folder, "dtw_pairwise").select(
-        action_key(F.col("action_code")).alias("action"), "part", "distance", F.to_date("computed_at").alias("day")
-    )
-    index = table(spark, folder, "dtw_pairwise_index").groupBy("part").agg(F.min(action_key(F.col("action_code"))).alias("action"))
-    named = pairs.where("action IS NOT NULL").select("action", "distance", "day")
-    filled = pairs.where("action IS NULL").drop("action").join(index, "part").select("action", "distance", "day")
-    return named.unionByName(filled)
+    """`action`, usable `distance`, `day` of every stored row; the action from the index where the row has none."""
+    index = written(table(spark, folder, "dtw_pairwise_index").groupBy("part").agg(F.min(action_key(F.col("action_code"))).alias("of_part")), "parts")
+    pairs = table(spark, folder, "dtw_pairwise").where("distance >= 0").select(action_key(F.col("action_code")).alias("own"), "part", "distance", F.to_date("computed_at").alias("day"))
+    if index.count() <= BROADCAST_PARTS:
+        return pairs.join(F.broadcast(index), "part", "left").select(F.coalesce("own", "of_part").alias("action"), "distance", "day")
+    named = pairs.where("own IS NOT NULL").select(F.col("own").alias("action"), "distance", "day")
+    return named.unionByName(pairs.where("own IS NULL").join(index, "part").select(F.col("of_part").alias("action"), "distance", "day"))
 
 
 def _percentiles(spark: SparkSession, folder: str, by_day: bool) -> DataFrame:
