@@ -7,7 +7,7 @@ Joints, thresholds and pairs are parameters with the 17-joint layout as default.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -55,19 +55,21 @@ def fill_gaps(pose: DataFrame, threshold: float = CONFIDENCE, longest: int = LON
     )
 
 
+def _root(where: Callable[[Column], Column], hips: Sequence[int]) -> tuple[Column, Column, Column]:
+    """Origin and its source of a frame; `where` makes an aggregate of it, over a group or a window."""
+    hip = F.col("joint").isin(*hips)
+    mean = lambda c, of: where(F.avg(F.when(of & F.col("valid"), F.col(c))))
+    hx, hy, vx, vy = mean("x", hip), mean("y", hip), mean("x", F.lit(True)), mean("y", F.lit(True))
+    return F.coalesce(hx, vx), F.coalesce(hy, vy), F.when(hx.isNotNull(), "hips").when(vx.isNotNull(), "visible").otherwise("none")
+
+
 def root_origins(filled: DataFrame, hips: Sequence[int] = HIPS) -> DataFrame:
     """`segment_id`, `frame`, `root_x`, `root_y`, `root_source`: the mean of the valid hips, else of all visible joints.
 
     `root_source` is `hips`, `visible` or `none`.
     """
-    hip = F.col("joint").isin(*hips)
-    mean = lambda c, where: F.avg(F.when(where & F.col("valid"), F.col(c)))
-    everything = F.lit(True)
-    by = filled.groupBy("segment_id", "frame").agg(
-        mean("x", hip).alias("hx"), mean("y", hip).alias("hy"), mean("x", everything).alias("vx"), mean("y", everything).alias("vy")
-    )
-    source = F.when(F.col("hx").isNotNull(), "hips").when(F.col("vx").isNotNull(), "visible").otherwise("none")
-    return by.select("segment_id", "frame", F.coalesce("hx", "vx").alias("root_x"), F.coalesce("hy", "vy").alias("root_y"), source.alias("root_source"))
+    x, y, source = _root(lambda c: c, hips)
+    return filled.groupBy("segment_id", "frame").agg(x.alias("root_x"), y.alias("root_y"), source.alias("root_source"))
 
 
 def torso_scales(filled: DataFrame, pairs: Sequence[tuple[int, int]] = TORSO) -> DataFrame:
@@ -95,7 +97,11 @@ def torso_scales(filled: DataFrame, pairs: Sequence[tuple[int, int]] = TORSO) ->
 
 def normalized(filled: DataFrame, roots: DataFrame, scales: DataFrame) -> DataFrame:
     """`filled` centred on the root and divided by the scale, as floats; missing stays missing."""
-    met = filled.join(roots, ["segment_id", "frame"]).join(scales, "segment_id")
+    return _scaled(filled.join(roots, ["segment_id", "frame"]), scales)
+
+
+def _scaled(rooted: DataFrame, scales: DataFrame) -> DataFrame:
+    met = rooted.join(scales, "segment_id")
     place = lambda c: F.when(F.col("valid"), (F.col(c) - F.col(f"root_{c}")) / F.col("scale")).cast("float")
     return met.select("segment_id", "frame", "joint", place("x").alias("x"), place("y").alias("y"), "confidence", "valid")
 
@@ -110,10 +116,15 @@ def diagnostics(filled: DataFrame, roots: DataFrame, scales: DataFrame) -> DataF
 
 
 def conditioned(pose: DataFrame, hips: Sequence[int] = HIPS, pairs: Sequence[tuple[int, int]] = TORSO, threshold: float = CONFIDENCE, longest: int = LONGEST_GAP) -> tuple[DataFrame, DataFrame]:
-    """The normalized pose table and the diagnostics. Segments without rows are in neither."""
-    filled = fill_gaps(pose, threshold, longest)
+    """The normalized pose table and the diagnostics. Segments without rows are in neither.
+
+    The pose table is shuffled once, by segment, which all windows, sums and joins below go on from: a segment is one recording.
+    """
+    filled = fill_gaps(pose.repartition("segment_id"), threshold, longest)
     roots, scales = root_origins(filled, hips), torso_scales(filled, pairs)
-    return normalized(filled, roots, scales), diagnostics(filled, roots, scales)
+    frame = Window.partitionBy("segment_id", "frame")
+    x, y, _ = _root(lambda c: c.over(frame), hips)
+    return _scaled(filled.withColumns({"root_x": x, "root_y": y}), scales), diagnostics(filled, roots, scales)
 
 
 def batch_summary(found: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kinespan.workspace import written
@@ -124,9 +124,12 @@ def _member_blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     yield blocks()
 
 
-def dense_group_statistics(df: DataFrame, keys: list[str], value: str, members: list[str]) -> DataFrame:
+def dense_group_statistics(df: DataFrame, keys: list[str], value: str, members: list[str], cleaned: list[Column] | None = None) -> DataFrame:
     """Rows, distinct members, smallest and mean usable value of every key.
 
+    With `cleaned`, one expression over `keys` for each of them, keys are what these make of the stored
+    ones. They are evaluated on the distinct stored keys only, not on the rows.
+
     Columns: `keys`, `n_rows`, `n_members` (distinct non-null texts of all columns in `members`
     together), `n_usable`, `min_value`, `mean_value`. Usable values are finite and not negative;
     without one, `min_value` and `mean_value` are null. Every stored row counts, repeated ones too;
@@ -138,11 +141,16 @@ def dense_group_statistics(df: DataFrame, keys: list[str], value: str, members:
     clash = {"n_rows", "n_members", "n_usable", "min_value", "mean_value"} & set(keys)
     if clash:
         raise ValueError(f"keys must not be named {sorted(clash)}")
+    clean = [F.col(f"`{k}`") for k in keys] if cleaned is None else cleaned
     named, keys = keys, [f"_g{i}" for i in range(len(keys))]
     rows = df.select(*[F.col(f"`{k}`").alias(g) for k, g in zip(named, keys)], F.col(f"`{value}`").cast("double").alias("_value"), *[F.col(f"`{m}`").cast("string").alias(f"_m{i}") for i, m in enumerate(members)])
     names = [f"_m{i}" for i in range(len(members))]
-    dictionary, n_keys = dense_codes(rows.select(*keys))
-    coded = encoded(rows, keys, dictionary, n_keys, ["_value", *names])
+    raw = [f"_raw{i}" for i in range(len(keys))]
+    distinct = rows.select(*keys).distinct().select(*[F.col(g).alias(k) for g, k in zip(keys, named)])
+    stored = written(distinct.select(*[c.alias(g) for c, g in zip(clean, keys)], *[F.col(f"`{k}`").alias(r) for k, r in zip(named, raw)]), "stored-keys")
+    dictionary, n_keys = dense_codes(stored.select(*keys))
+    spelled = encoded(stored, keys, dictionary, n_keys, raw).select(*[F.col(r).alias(g) for r, g in zip(raw, keys)], "code")
+    coded = encoded(rows, keys, spelled, stored.count(), ["_value", *names])
 
     blocks = coded.select("code", F.col("_value").alias("value")).mapInPandas(
         _value_blocks, "block long, n_rows array<long>, n_usable array<long>, total array<double>, least array<double>"
@@ -183,7 +191,10 @@ def dense_group_statistics(df: DataFrame, keys: list[str], value: str, members:
     )
 
 
-def heavy_groups(statistics: DataFrame, total_rows: int, share: float = 0.05) -> DataFrame:
-    """The rows of `dense_group_statistics` whose key holds at least `share` of `total_rows`, keys with a null left out."""
+def heavy_groups(statistics: DataFrame, total_rows: int | None = None, share: float = 0.05) -> DataFrame:
+    """The rows of `dense_group_statistics` whose key holds at least `share` of `total_rows`, by default of the rows of all keys; keys with a null are left out."""
+    if total_rows is None:
+        statistics = written(statistics, "statistics")
+        total_rows = statistics.agg(F.sum("n_rows")).first()[0] or 0
     keys = statistics.columns[: statistics.columns.index("n_rows")]
     return statistics.where(F.col("n_rows") >= F.lit(share) * F.lit(total_rows)).na.drop(subset=keys)

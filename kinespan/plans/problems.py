@@ -14,25 +14,20 @@ from kinespan.workspace import new_path
 KEYS = ["action_code", "age_bin_12m_label"]
 
 
-def _pairs(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "dtw_pairwise").select(
-        action_key(F.col("action_code")).alias("action_code"),
-        age_key(F.col("age_bin_12m_label")).alias("age_bin_12m_label"),
-        "segment_id_a", "segment_id_b", "distance",
-    )
+def _statistics(spark: SparkSession, folder: str) -> DataFrame:
+    """Statistics of every group as the rows' own labels name it; labels are read on the distinct spellings."""
+    pairs = table(spark, folder, "dtw_pairwise").select(*KEYS, "segment_id_a", "segment_id_b", "distance")
+    return dense_group_statistics(pairs, KEYS, "distance", ["segment_id_a", "segment_id_b"], [action_key(F.col(KEYS[0])), age_key(F.col(KEYS[1]))])
 
 
 def p2_group_statistics(spark: SparkSession, folder: str) -> DataFrame:
     """Rows, distinct executions, smallest and mean usable distance of every (action, age) that a row names."""
-    found = dense_group_statistics(_pairs(spark, folder), KEYS, "distance", ["segment_id_a", "segment_id_b"])
-    return found.na.drop(subset=KEYS).withColumn("mean_value", F.round("mean_value", 4))
+    return _statistics(spark, folder).na.drop(subset=KEYS).withColumn("mean_value", F.round("mean_value", 4))
 
 
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     """Groups with at least 5 % of all stored rows."""
-    pairs = _pairs(spark, folder)
-    found = dense_group_statistics(pairs, KEYS, "distance", ["segment_id_a", "segment_id_b"])
-    return heavy_groups(found, pairs.count()).select(*KEYS)
+    return heavy_groups(_statistics(spark, folder)).select(*KEYS)
 
 
 def present_reviews(spark: SparkSession, folder: str, batches: int = 2) -> DataFrame:

@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from kinespan.operators import skewed_groups as S
 
@@ -51,6 +52,13 @@ def test_many_small_blocks_and_salted_dictionary(spark, monkeypatch):
     same(found(spark.createDataFrame(data, SCHEMA)), by_hand(data))
 
 
+def test_spellings_of_a_key_count_together(spark):
+    df = spark.createDataFrame([(" a", 1.0, "m"), ("A", 2.0, "m"), ("b", 3.0, "n"), (None, 4.0, "n")], "k string, v double, m string")
+    got = S.dense_group_statistics(df, ["k"], "v", ["m"], [F.lower(F.trim("k"))])
+    assert {tuple(r) for r in got.collect()} == {("a", 2, 1, 2, 1.0, 1.5), ("b", 1, 1, 1, 3.0, 3.0), (None, 1, 1, 1, 4.0, 4.0)}
+    assert {r["k"] for r in S.heavy_groups(got, share=0.5).collect()} == {"a"}
+
+
 def test_several_blocks(spark):
     df = spark.range(20_000).selectExpr("id % 9000 AS code", "cast(null AS string) AS block", "double(id) AS v", "string(id % 7) AS m", "'z' AS o")
     got = S.dense_group_statistics(df, ["code"], "v", ["m", "o"])
