@@ -84,13 +84,13 @@ def torso_scales(filled: DataFrame, pairs: Sequence[tuple[int, int]] = TORSO) ->
         *at, *[f(F.when(seen, F.col(c))).alias(n) for n, f, c in (("x0", F.min, "x"), ("x1", F.max, "x"), ("y0", F.min, "y"), ("y1", F.max, "y"))]
     )
     length = [F.hypot(F.col(f"j{a}.x") - F.col(f"j{b}.x"), F.col(f"j{a}.y") - F.col(f"j{b}.y")) for a, b in pairs]
-    boxes = frames.groupBy("segment_id").agg(F.min("x0").alias("x0"), F.max("x1").alias("x1"), F.min("y0").alias("y0"), F.max("y1").alias("y1"))
-    middle = (
-        frames.select("segment_id", F.explode(F.array(*length)).alias("d")).where(F.col("d") > 1e-6)
-        .groupBy("segment_id").agg(F.percentile("d", F.lit(0.5)).alias("median"))
-    )
+    # all lengths of one recording, in one row
+    all_lengths = F.array_sort(F.flatten(F.collect_list(F.filter(F.array(*length), lambda d: d > 1e-6))))
+    whole = frames.groupBy("segment_id").agg(F.min("x0").alias("x0"), F.max("x1").alias("x1"), F.min("y0").alias("y0"), F.max("y1").alias("y1"), all_lengths.alias("d"))
+    n = F.size("d")
+    median = F.when(n > 0, (F.get("d", F.floor((n - 1) / 2).cast("int")) + F.get("d", F.floor(n / 2).cast("int"))) / 2)
     diagonal = F.hypot(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0"))
-    return boxes.join(middle, "segment_id", "left").select(
+    return whole.withColumn("median", median).select(
         "segment_id", F.greatest(F.coalesce("median", diagonal, F.lit(1.0)), F.lit(1.0)).alias("scale"), F.col("median").isNull().alias("scale_fallback")
     )
 

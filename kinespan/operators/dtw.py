@@ -9,6 +9,7 @@ A sequence is an array of frames, each an array x0, y0, x1, y1, ... with null fo
 
 from __future__ import annotations
 
+from functools import reduce
 from math import ceil
 
 import numpy as np
@@ -16,7 +17,15 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kinespan.workspace import written
+
 SUPPORT = 0.5
+#: Segments of a block: a task makes the pairs of two blocks.
+TILE = 64
+#: Groups whose sizes are broadcast at most.
+BROADCAST_GROUPS = 100_000
+#: Pairs whose costs are summed together.
+BATCH = 128
 #: What results are stamped with.
 METRIC_VERSION, CONDITIONING_VERSION = "joint_overlap_v1", "missing_safe_v1"
 
@@ -119,17 +128,68 @@ def path(cost: np.ndarray) -> list[tuple[int, int]]:
     return steps[::-1]
 
 
+def _padded(sequences: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Coordinates (sequence, frame, 2, joint) with 0 for missing, what is there (sequence, frame, joint), and lengths."""
+    size = np.array([len(s) for s in sequences])
+    xy = np.zeros((len(sequences), int(size.max()), 2, sequences[0].shape[1]))
+    there = np.zeros((len(sequences), int(size.max()), sequences[0].shape[1]), bool)
+    for i, s in enumerate(sequences):
+        ok = np.isfinite(s).all(axis=2)
+        there[i, : len(s)] = ok
+        xy[i, : len(s)] = np.where(ok[..., None], s, 0.0).transpose(0, 2, 1)
+    return xy, there, size
+
+
+def distances(left: list[np.ndarray | None], right: list[np.ndarray | None], i: np.ndarray, j: np.ndarray, support: float = SUPPORT) -> np.ndarray:
+    """The distances of the pairs `left[i]`, `right[j]`, NaN for none: as `distance`, for BATCH pairs of like length at a time."""
+    out = np.full(len(i), np.nan)
+    (n, k), (m, l) = (np.array([(0, 0) if s is None else s.shape[:2] for s in side], np.int64).reshape(-1, 2).T for side in (left, right))
+    order = np.flatnonzero((n[i] > 0) & (m[j] > 0))
+    if (k[i[order]] != l[j[order]]).any() or (k[i[order]] == 0).any():
+        raise ValueError("sequences must have the same joints")
+    order = order[np.lexsort((m[j[order]], n[i[order]], k[i[order]]))]
+    cuts = np.flatnonzero(np.diff(k[i[order]])) + 1
+    for part in (p[at : at + BATCH] for p in np.split(order, cuts) for at in range(0, len(p), BATCH)):
+        a, b = np.unique(i[part], return_inverse=True), np.unique(j[part], return_inverse=True)
+        out[part] = _batch(_padded([left[x] for x in a[0]]), _padded([right[x] for x in b[0]]), a[1], b[1], support)
+    return out
+
+
+def _batch(left: tuple, right: tuple, i: np.ndarray, j: np.ndarray, support: float) -> np.ndarray:
+    (xa, ta, na), (xb, tb, nb) = left, right
+    joints = ta.shape[2]
+    shape = (len(i), ta.shape[1], tb.shape[1])
+    both, total = np.zeros(shape), np.zeros(shape)
+    for k in range(joints):
+        mask = ta[i, :, None, k] & tb[j, None, :, k]
+        both += mask
+        gap = xa[i, :, None, 0, k] - xb[j, None, :, 0, k]
+        square = gap * gap
+        gap = xa[i, :, None, 1, k] - xb[j, None, :, 1, k]
+        square += gap * gap
+        total += square * mask
+    with np.errstate(divide="ignore", invalid="ignore"):
+        cost = np.where(both >= required_joints(joints, support), np.sqrt(total * joints / both), np.inf)
+    n, m = shape[1:]
+    sums = np.full((len(i), n + 1, m + 1), np.inf)
+    sums[:, 0, 0] = 0.0
+    # padding lies beyond each pair's own last cell and is never on the way to it
+    for d in range(n + m - 1):
+        r = np.arange(max(0, d - m + 1), min(n, d + 1))
+        c = d - r
+        best = np.minimum(np.minimum(sums[:, r, c + 1], sums[:, r + 1, c]), sums[:, r, c])
+        sums[:, r + 1, c + 1] = cost[:, r, c] + best
+    last = sums[np.arange(len(i)), na[i], nb[j]]
+    return np.where(np.isfinite(last), last / (na[i] + nb[j]), np.nan)
+
+
 def dtw_distance(support: float = SUPPORT):
     """A pandas UDF (a, b) -> distance; null for a missing or an empty sequence and for an abstention."""
 
     @F.pandas_udf("double")
     def run(a: pd.Series, b: pd.Series) -> pd.Series:
-        made: dict[int, np.ndarray | None] = {}
-        out = []
-        for p, q in zip(a, b):
-            left, right = (made[id(s)] if id(s) in made else made.setdefault(id(s), _stack(s)) for s in (p, q))
-            out.append(None if left is None or right is None else distance(left, right, support))
-        return pd.Series(out, dtype="float64")
+        found = distances([_stack(s) for s in a], [_stack(s) for s in b], np.arange(len(a)), np.arange(len(b)), support) if len(a) else np.zeros(0)
+        return pd.Series(found, dtype="float64").where(np.isfinite(found), None)
 
     return run
 
@@ -158,17 +218,50 @@ def register(spark: SparkSession, support: float = SUPPORT) -> None:
     spark.udf.register("dtw_path", dtw_path(support))
 
 
-def pair_distances(sequences: DataFrame, groups: list[str], support: float = SUPPORT, slices: int = 64) -> DataFrame:
-    """`groups`, `segment_id_a`, `segment_id_b`, `distance` for every unordered pair of a group's segments.
+def _tile(names: list[str], support: float):
+    """Of a tile's sequences, of side `a` and side `b`, all distances that are asked for."""
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        a, b = rows[rows["_side"] == "a"].sort_values("segment_id"), rows[rows["_side"] == "b"].sort_values("segment_id")
+        ids_a, ids_b = a["segment_id"].to_numpy(object), b["segment_id"].to_numpy(object)
+        i, j = (x.ravel() for x in np.meshgrid(np.arange(len(a)), np.arange(len(b)), indexing="ij"))
+        if len(i) and rows["_same"].iloc[0]:  # one block with itself: each pair once
+            keep = ids_a[i] < ids_b[j]
+            i, j = i[keep], j[keep]
+        found = distances([_stack(s) for s in a["frames"]], [_stack(s) for s in b["frames"]], i, j, support) if len(i) else np.zeros(0)
+        first, second = ids_a[i], ids_b[j]
+        swap = np.array([x > y for x, y in zip(first, second)], bool)
+        first, second = np.where(swap, second, first), np.where(swap, first, second)
+        out = pd.DataFrame({"segment_id_a": first, "segment_id_b": second, "distance": pd.Series(found, dtype="float64").where(np.isfinite(found), None)})
+        for c in names:
+            out[c] = rows[c].iloc[0]
+        return out[[*names, "segment_id_a", "segment_id_b", "distance"]]
+
+    return run
+
+
+def pair_distances(sequences: DataFrame, groups: list[str], support: float = SUPPORT, block: int = TILE) -> DataFrame:
+    """`groups`, `segment_id_a`, `segment_id_b`, `distance` for every unordered pair of a group's segments, null for an abstention.
 
-    Pairs are what is asked for here. They are spread by the pair's hash before the kernel runs, so
-    a large group's pairs are shared by all tasks.
+    `sequences`: `groups`, `segment_id` (once in a group), `frames`. Pairs are what is asked for here. A group's
+    segments are hashed into blocks of about `block`; a task gets two blocks, or one with itself, and makes
+    their pairs. So a sequence is sent once for each block of its group, not once for each pair, and the
+    largest group's pairs are shared by as many tasks as it has pairs of blocks. A null in a group column is a group of its own.
     """
-    a = sequences.select(*groups, F.col("segment_id").alias("segment_id_a"), F.col("frames").alias("fa"))
-    b = sequences.select(*groups, F.col("segment_id").alias("segment_id_b"), F.col("frames").alias("fb"))
-    ids = a.drop("fa").join(b.drop("fb"), groups).where("segment_id_a < segment_id_b").repartition(slices, "segment_id_a", "segment_id_b")
-    met = ids.join(a, [*groups, "segment_id_a"]).join(b, [*groups, "segment_id_b"])
-    return met.select(*groups, "segment_id_a", "segment_id_b", dtw_distance(support)("fa", "fb").alias("distance"))
+    rows = sequences.select(*groups, "segment_id", "frames").where("segment_id IS NOT NULL")
+    sizes = written(rows.groupBy(*groups).agg(F.greatest(F.ceil(F.count("*") / F.lit(block)), F.lit(1)).cast("int").alias("_blocks")), "sizes")
+    same = reduce(lambda x, y: x & y, [F.col(f"r.`{g}`").eqNullSafe(F.col(f"s.`{g}`")) for g in groups])
+    met = rows.alias("r").join((F.broadcast(sizes) if sizes.count() <= BROADCAST_GROUPS else sizes).alias("s"), same)
+    placed = met.select(*[F.col(f"r.`{g}`").alias(g) for g in groups], "segment_id", "frames", "_blocks").withColumn("_block", F.pmod(F.xxhash64("segment_id"), F.col("_blocks")).cast("int"))
+    others = F.sequence(F.lit(0), F.col("_blocks") - 1)
+    # against blocks from its own on a segment is on side a, against those up to its own on side b
+    tiles = F.flatten(F.transform(others, lambda o: F.array_compact(F.array(
+        F.when(o >= F.col("_block"), F.struct(F.col("_block").alias("_a"), o.alias("_b"), F.lit("a").alias("_side"))),
+        F.when(o <= F.col("_block"), F.struct(o.alias("_a"), F.col("_block").alias("_b"), F.lit("b").alias("_side"))),
+    ))))
+    sent = placed.select(*groups, "segment_id", "frames", F.explode(tiles).alias("_t")).select(*groups, "segment_id", "frames", "_t.*").withColumn("_same", F.col("_a") == F.col("_b"))
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields if f.name in groups) + ", segment_id_a string, segment_id_b string, distance double"
+    return sent.groupBy(*groups, "_a", "_b").applyInPandas(_tile(groups, support), schema)
 
 
 def pair_counts(segments: DataFrame, groups: list[str]) -> DataFrame:

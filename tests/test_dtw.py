@@ -91,3 +91,26 @@ def test_pairs_of_groups(spark):
     df = spark.createDataFrame(rows, "g string, segment_id string, frames array<array<double>>")
     assert dtw.pair_distances(df, ["g"]).count() == 6
     assert {tuple(r) for r in dtw.pair_counts(df, ["g"]).collect()} == {("x", 4, 6), ("y", 1, 0)}
+
+
+@pytest.mark.parametrize("block", [2, 5, 64])
+def test_tiles_make_every_pair_once(spark, block):
+    """Groups of several blocks, a null group, 17 joints, 20 to 40 frames: each unordered pair once, with the distance of the pair by itself."""
+    made = {(g, f"s{i:02d}"): sequence(i + 50 * len(g or ""), int(20 + i * 7 % 21), 0.1, 17) for g, n in (("x", 13), ("yy", 2), (None, 3)) for i in range(n)}
+    made["x", "s03"][4, :10] = np.nan  # abstains with most
+    df = spark.createDataFrame([(g, s, packed(a)) for (g, s), a in made.items()], "g string, segment_id string, frames array<array<double>>")
+    got = dtw.pair_distances(df, ["g"], block=block).collect()
+    assert len(got) == len({(r["g"], r["segment_id_a"], r["segment_id_b"]) for r in got}) == 78 + 1 + 3
+    for r in got:
+        assert r["segment_id_a"] < r["segment_id_b"]
+        want = dtw.distance(made[r["g"], r["segment_id_a"]], made[r["g"], r["segment_id_b"]])
+        assert (r["distance"] is None) if want is None else r["distance"] == pytest.approx(want, rel=1e-12)
+    assert any(r["distance"] is None for r in got)
+
+
+def test_joints_must_agree_within_a_pair():
+    a, b = sequence(1, 4, 0.0, 5), sequence(2, 5, 0.0, 4)
+    i = np.arange(2)
+    assert np.isfinite(dtw.distances([a, b], [a, b], i, i)).all()
+    with pytest.raises(ValueError):
+        dtw.distances([a, b], [b, a], i, i)
