@@ -264,6 +264,30 @@ def pair_distances(sequences: DataFrame, groups: list[str], support: float = SUP
     return sent.groupBy(*groups, "_a", "_b").applyInPandas(_tile(groups, support), schema)
 
 
+def planned_distances(plan: DataFrame, sequences: DataFrame, support: float = SUPPORT, pairs_of_task: int = TILE * TILE) -> DataFrame:
+    """`segment_id`, `reference_id`, `distance` of every different pair of `plan` whose sequences both exist, null for an abstention.
+
+    `sequences`: `segment_id` (once), `frames`. Both sides' ids are hashed into blocks, so many that two of them
+    share about `pairs_of_task` pairs; a sequence is sent once to each pair of blocks that needs it.
+    """
+    pairs = written(plan.select("segment_id", "reference_id").na.drop().distinct(), "pairs")
+    side = max(1, ceil((pairs.count() / pairs_of_task) ** 0.5))
+    block = lambda c: F.pmod(F.xxhash64(c), F.lit(side)).cast("int")
+    asked = pairs.select(block("segment_id").alias("_a"), block("reference_id").alias("_b"), "segment_id", "reference_id")
+    ends = asked.select("_a", "_b", F.explode(F.array("segment_id", "reference_id")).alias("segment_id")).distinct()
+    sent = ends.join(sequences.select("segment_id", "frames"), "segment_id").select(F.col("_a").alias("_c"), F.col("_b").alias("_d"), "segment_id", "frames")
+
+    def run(wanted: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
+        at = {s: n for n, s in enumerate(held["segment_id"])}
+        wanted = wanted[wanted["segment_id"].isin(at) & wanted["reference_id"].isin(at)]
+        made = [_stack(s) for s in held["frames"]]
+        i, j = (wanted[c].map(at).to_numpy(np.int64) for c in ("segment_id", "reference_id"))
+        found = distances(made, made, i, j, support) if len(i) else np.zeros(0)
+        return pd.DataFrame({"segment_id": wanted["segment_id"].to_numpy(object), "reference_id": wanted["reference_id"].to_numpy(object), "distance": pd.Series(found, dtype="float64").where(np.isfinite(found), None)})
+
+    return asked.groupBy("_a", "_b").cogroup(sent.groupBy("_c", "_d")).applyInPandas(run, "segment_id string, reference_id string, distance double")
+
+
 def pair_counts(segments: DataFrame, groups: list[str]) -> DataFrame:
     """`groups`, `n_clips`, `n_pairs`: the index of what `pair_distances` gives, without making the pairs."""
     n = F.col("n_clips")

@@ -9,8 +9,9 @@ from kinespan.functions.labels import age_start, child_or_unknown, child_text, r
 from kinespan.operators import comparison, profiles, references
 from kinespan.operators.references import usable
 from kinespan.plans import views
+from kinespan.plans.motion import compared_motion, compared_sql
 from kinespan.plans.views import (
-    BOTH_SQL, CHILDREN_SQL, PAIRS_SQL, PART_GROUPS_SQL, PRIMARIES_SQL, TOPK_SQL, executions_sql,
+    BOTH_SQL, CHILDREN_SQL, PAIRS_SQL, PART_GROUPS_SQL, PRIMARIES_SQL, TOPK_SQL, diverse_sql, executions_sql,
 )
 from kinespan.sources.tables import table
 from kinespan.workspace import written
@@ -112,15 +113,6 @@ def age_bin_parse(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _catalog(spark: SparkSession, folder: str) -> DataFrame:
-    """The references of each group: the best of every matrix would be thousands, so those of each group's matrix with the least name."""
-    topk = views.topk(spark, folder)
-    first = topk.groupBy("action", "age").agg(F.min("part").alias("part"))
-    chosen = topk.join(first, ["action", "age", "part"]).select("action", "age", "segment_id", "rank", "child")
-    main = chosen.groupBy("action", "age").agg(F.min(F.struct("rank", "segment_id")).alias("m")).select("action", "age", F.col("m.segment_id").alias("medoid_segment_id"))
-    return comparison.reference_catalog(chosen, main, ["action", "age"])
-
-
-def _whole_catalog(spark: SparkSession, folder: str) -> DataFrame:
     """All distinct references of each group, from all its matrices; the first by rank and id is its primary."""
     rows = views.topk(spark, folder).groupBy("action", "age", "segment_id").agg(F.min("rank").alias("rank"), F.min("child").alias("child"))
     main = rows.groupBy("action", "age").agg(F.min(F.struct("rank", "segment_id")).alias("m")).select("action", "age", F.col("m.segment_id").alias("medoid_segment_id"))
@@ -169,47 +161,30 @@ def expected_comparisons(spark: SparkSession, folder: str) -> DataFrame:
 
 def expected_comparisons_all(spark: SparkSession, folder: str) -> DataFrame:
     """The comparisons planned with all references of a group; they grow with executions times references."""
-    catalog = _whole_catalog(spark, folder)
+    catalog = _catalog(spark, folder)
     return comparison.planned(_requests(spark, folder, catalog), catalog)
 
 
-def _results(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Catalog, plan and results where the stored distance of reference and its part stands for the kernel:
-
-    each planned comparison takes the usable distance with the nearest hash of its two ids, or none.
-    """
-    catalog = written(_catalog(spark, folder), "catalog")
-    plan = written(comparison.planned(_requests(spark, folder, catalog), catalog), "plan")
-    central = references.centrality(views.pairs(spark, folder), PART).groupBy("segment_id").agg(F.min("mean_distance").alias("d"))
-    size = F.pmod(F.substring("segment_id", 2, 9).cast("int") * 7 + F.substring("reference_id", 2, 9).cast("int") * 3 + F.col("age_offset"), F.lit(23))
-    met = plan.select("segment_id", "reference_id", "age_offset").join(central.withColumnRenamed("segment_id", "reference_id"), "reference_id", "left")
-    # a stand-in for the kernel's answer that both engines can compute: some comparisons abstain
-    value = F.when(size > 0, F.round(F.col("d") * (1 + size / 23.0), 6))
-    distances = met.select("segment_id", "reference_id", value.alias("distance")).groupBy("segment_id", "reference_id").agg(F.min("distance").alias("distance"))
-    known = views.executions(spark, folder, "training").select("segment_id").unionByName(plan.select("segment_id"))
-    return catalog, plan, comparison.with_states(plan, distances, known)
-
-
 def comparison_status(spark: SparkSession, folder: str) -> DataFrame:
-    """Every planned comparison with its state."""
-    _, _, found = _results(spark, folder)
+    """Every planned comparison of sequences with its state."""
+    _, _, _, found = compared_motion(spark, folder)
     return found.select("segment_id", "reference_id", "age_offset", "is_primary", F.round("distance", 6).alias("distance"), "state")
 
 
 def status_counts(spark: SparkSession, folder: str) -> DataFrame:
     """Comparisons by action and state."""
-    _, _, found = _results(spark, folder)
+    _, _, _, found = compared_motion(spark, folder)
     return comparison.state_counts(found, ["action"])
 
 
 def separation_controls(spark: SparkSession, folder: str) -> DataFrame:
     """The six controls of the separation of training and validation."""
-    catalog, plan, found = _results(spark, folder)
-    return comparison.separation_controls(views.executions(spark, folder, "training"), views.executions(spark, folder, "validation"), catalog, plan, found)
+    rows, catalog, plan, found = compared_motion(spark, folder)
+    return comparison.separation_controls(rows.where("is_training"), rows.where("NOT is_training"), catalog, plan, found)
 
 
 def _profiles(spark: SparkSession, folder: str) -> DataFrame:
-    _, _, found = _results(spark, folder)
+    _, _, _, found = compared_motion(spark, folder)
     return written(profiles.profiles(found), "profiles")
 
 
@@ -217,7 +192,7 @@ _ROUNDED = ["d_Y", "d_E", "d_O"]
 
 
 def execution_profiles(spark: SparkSession, folder: str) -> DataFrame:
-    """Profiles of every validation execution."""
+    """Profiles of every validation sequence, from the kernel's distances to all references of its groups."""
     found = _profiles(spark, folder)
     return found.withColumns({c: _shown(c) for c in [*_ROUNDED, "margin_Y_E", "margin_O_E"]})
 
@@ -248,30 +223,10 @@ def _up(c: str) -> str:
 
 
 _CENTRAL = f"SELECT part, segment_id, avg(distance) AS m, count(*) AS n FROM ({BOTH_SQL}) GROUP BY part, segment_id"
-_POOL = f"""SELECT part, c.segment_id, round(m, 9) AS m, coalesce(child, 'desconocido::' || c.segment_id) AS child FROM ({_CENTRAL}) c LEFT JOIN ({CHILDREN_SQL}) k ON c.segment_id = k.segment_id"""
-_SIZES = f"""SELECT part, n_group_clips, n_group_children, CASE WHEN n_group_children < 5 THEN 1 WHEN n_group_children < 10 THEN 2 WHEN n_group_children < 20 THEN 3 ELSE 4 END AS k_requested, q
- FROM (SELECT part, count(*) AS n_group_clips, count(DISTINCT child) AS n_group_children FROM pool GROUP BY part)
- JOIN (SELECT part, quantile_cont(distance, [0.25, 0.2, 0.1]) AS q FROM ({PAIRS_SQL}) GROUP BY part) USING (part)"""
-
-
-def _round(rank: int) -> str:
-    """SQL of one further pick, from `pool`, `links`, `sizes` and the picks so far in p1..p{rank - 1}."""
-    so_far = " UNION ALL ".join(f"SELECT part, segment_id, child FROM p{i}" for i in range(1, rank))
-    return f"""p{rank} AS MATERIALIZED (SELECT part, segment_id, child, m, {rank} AS rank, ['p25', 'p20', 'p10'][step] AS threshold_used FROM (SELECT *, row_number() OVER (PARTITION BY part ORDER BY step, m, segment_id, child) AS nr FROM (
- SELECT o.*, CASE WHEN round(away, 9) >= round(q[1], 9) THEN 1 WHEN round(away, 9) >= round(q[2], 9) THEN 2 WHEN round(away, 9) >= round(q[3], 9) THEN 3 END AS step FROM pool o JOIN sizes USING (part)
- JOIN (SELECT l.part, l.segment_id, min(distance) AS away FROM links l JOIN ({so_far}) c ON l.part = c.part AND l.other = c.segment_id GROUP BY l.part, l.segment_id) a USING (part, segment_id)
- WHERE k_requested >= {rank} AND part IN (SELECT part FROM p{rank - 1}) AND (part, child) NOT IN (SELECT part, child FROM ({so_far}))) WHERE step IS NOT NULL) WHERE nr = 1)"""
-
-
-_TOPK = f"""WITH links AS MATERIALIZED ({BOTH_SQL}), pool AS MATERIALIZED ({_POOL}), sizes AS MATERIALIZED ({_SIZES}),
- p1 AS MATERIALIZED (SELECT part, segment_id, child, m, 1 AS rank, 'primaria' AS threshold_used FROM (SELECT *, row_number() OVER (PARTITION BY part ORDER BY m, segment_id) AS nr FROM pool) WHERE nr = 1),
- {_round(2)}, {_round(3)}, {_round(4)},
- found AS (SELECT part, segment_id, CAST(rank AS INT) AS rank, child, {_up('m')} AS mean_distance, k_requested, threshold_used, n_group_clips, n_group_children FROM (
- SELECT * FROM p1 UNION ALL SELECT * FROM p2 UNION ALL SELECT * FROM p3 UNION ALL SELECT * FROM p4) JOIN sizes USING (part))"""
-_CATALOG = f"""SELECT t.action, t.age, segment_id, rank, child, row_number() OVER (PARTITION BY t.action, t.age ORDER BY rank, segment_id) = 1 AS is_primary FROM ({TOPK_SQL}) t
- JOIN (SELECT action, age, min(part) AS part FROM ({TOPK_SQL}) GROUP BY action, age) f ON t.action = f.action AND t.age = f.age AND t.part = f.part"""
+_TOPK = diverse_sql(PAIRS_SQL, CHILDREN_SQL)
+_FOUND = f"SELECT * EXCLUDE (m), {_up('m')} AS mean_distance FROM found"
 _AGES = "'36_47mo', '48_59mo', '60_71mo', '72_83mo'"
-_WHOLE_CATALOG = f"""SELECT action, age, segment_id, min(rank) AS rank, min(child) AS child, row_number() OVER (PARTITION BY action, age ORDER BY min(rank), segment_id) = 1 AS is_primary
+_CATALOG = f"""SELECT action, age, segment_id, min(rank) AS rank, min(child) AS child, row_number() OVER (PARTITION BY action, age ORDER BY min(rank), segment_id) = 1 AS is_primary
  FROM ({TOPK_SQL}) GROUP BY action, age, segment_id"""
 _REQUESTS = f"""SELECT segment_id, child, action, age, age_offset, coalesce(t, '') AS target_age, coalesce(n, 0) AS n_references,
  CASE WHEN t IS NULL THEN 'fuera_de_dominio_etario' WHEN n IS NULL THEN 'sin_grupo_de_referencia' WHEN duration_seconds IS NULL THEN 'sin_secuencia' ELSE 'solicitada' END AS state FROM (
@@ -279,12 +234,6 @@ _REQUESTS = f"""SELECT segment_id, child, action, age, age_offset, coalesce(t, '
  FROM ({executions_sql('validation')}) e, (VALUES (-1), (0), (1)) o(age_offset)) LEFT JOIN (SELECT action AS ga, age AS gg, count(*) AS n FROM ({_CATALOG}) GROUP BY ALL) ON ga = action AND gg = t"""
 _PLAN = f"""SELECT r.action, r.target_age, r.segment_id, r.child, r.age, r.age_offset, c.segment_id AS reference_id, c.child AS reference_child, c.rank, c.is_primary FROM ({_REQUESTS}) r
  JOIN ({_CATALOG}) c ON c.action = r.action AND c.age = r.target_age WHERE state = 'solicitada'"""
-_RESULTS = f"""SELECT *, CASE WHEN distance IS NOT NULL THEN 'calculada' WHEN reference_id NOT IN (SELECT segment_id FROM t) AND reference_id NOT IN (SELECT segment_id FROM v) THEN 'sin_secuencia'
- ELSE 'sin_camino_admisible' END AS state FROM (SELECT p.*, min(CASE WHEN z > 0 THEN round(d * (1 + z / 23.0::DOUBLE), 6) END) OVER (PARTITION BY segment_id, reference_id) AS distance FROM (
- SELECT p.*, d, ((CAST(substr(p.segment_id, 2) AS INT) * 7 + CAST(substr(reference_id, 2) AS INT) * 3 + age_offset) % 23 + 23) % 23 AS z FROM ({_PLAN}) p
- LEFT JOIN (SELECT segment_id AS sid, min(m) AS d FROM ({_CENTRAL}) GROUP BY segment_id) ON sid = reference_id) p)"""
-_WITH = f"WITH t AS MATERIALIZED ({executions_sql('training')}), v AS MATERIALIZED (SELECT DISTINCT segment_id FROM ({_PLAN})), r AS MATERIALIZED ({_RESULTS})"
-
 
 def _profile_columns() -> str:
     out = []
@@ -297,7 +246,7 @@ def _profile_columns() -> str:
     return ", ".join(out)
 
 
-_PROFILES = f"""{_WITH}, w AS (SELECT segment_id, child, action, age, s AS summary, {_profile_columns()} FROM r, (VALUES ('primaria'), ('mediana_topk'), ('minimo_topk')) x(s) GROUP BY segment_id, child, action, age, s),
+_PROFILES = f"""{compared_sql('')}, w AS (SELECT segment_id, child, action, age, s AS summary, {_profile_columns()} FROM results, (VALUES ('primaria'), ('mediana_topk'), ('minimo_topk')) x(s) GROUP BY segment_id, child, action, age, s),
  f AS MATERIALIZED (SELECT *, d_Y - d_E AS margin_Y_E, d_O - d_E AS margin_O_E, d_Y IS NOT NULL AND d_E IS NOT NULL AND d_O IS NOT NULL AS complete,
  CASE WHEN len(list_filter([d_Y, d_E, d_O], lambda d: d = least(d_Y, d_E, d_O))) = 1 THEN ['Y', 'E', 'O'][list_position([d_Y, d_E, d_O], least(d_Y, d_E, d_O))] END AS nearest FROM w)"""
 
@@ -306,7 +255,7 @@ SQL = {
     "group_centrality": f"SELECT part, segment_id, {_up('m')} AS mean_distance, n AS n_pairs FROM ({_CENTRAL})",
     "group_medoid": f"SELECT part, segment_id AS medoid_segment_id, {_up('m')} AS mean_distance FROM (SELECT *, row_number() OVER (PARTITION BY part ORDER BY round(m, 9), segment_id) AS nr FROM ({_CENTRAL})) WHERE nr = 1",
     "group_quantiles": f"SELECT part, round(q[1], 6) AS q25, round(q[2], 6) AS q20, round(q[3], 6) AS q10 FROM (SELECT part, quantile_cont(distance, [0.25, 0.2, 0.1]) AS q FROM ({PAIRS_SQL}) GROUP BY part)",
-    "topk_diverse": f"{_TOPK} SELECT * FROM found",
+    "topk_diverse": f"{_TOPK} {_FOUND}",
     "topk_first_two": f"{_TOPK} SELECT part, segment_id, rank, child, k_requested, threshold_used, n_group_clips, n_group_children FROM found WHERE rank <= 2",
     "catalog_rebuilt": f"{_TOPK} SELECT part, action, age, segment_id, rank, rank = 1 AS is_primary FROM found LEFT JOIN ({PART_GROUPS_SQL}) USING (part)",
     "catalog_sizes": f"SELECT n_references, count(*) AS n_groups FROM (SELECT part, count(*) AS n_references FROM ({TOPK_SQL}) WHERE part IS NOT NULL GROUP BY part) GROUP BY n_references",
@@ -339,14 +288,18 @@ SQL = {
     "request_states": f"SELECT state, count(*) AS n FROM ({_REQUESTS}) GROUP BY state",
     "coverage_matrix": f"""SELECT action, {', '.join(f"count(*) FILTER (state = '{s}') AS {s}" for s in ('solicitada', 'fuera_de_dominio_etario', 'sin_grupo_de_referencia', 'sin_secuencia'))} FROM ({_REQUESTS}) GROUP BY action""",
     "expected_comparisons": _PLAN,
-    "expected_comparisons_all": _PLAN.replace(_CATALOG, _WHOLE_CATALOG),
-    "comparison_status": f"{_WITH} SELECT segment_id, reference_id, age_offset, is_primary, round(distance, 6) AS distance, state FROM r",
-    "status_counts": f"{_WITH} SELECT action, state, count(*) AS n FROM r GROUP BY action, state",
-    "separation_controls": f"""{_WITH}, e AS MATERIALIZED ({executions_sql('validation')}), c AS ({_CATALOG})
- SELECT 'child_in_both' AS control, (SELECT count(*) FROM (SELECT child FROM t WHERE child IS NOT NULL INTERSECT SELECT child FROM e)) AS n_violations
- UNION ALL SELECT 'reference_outside_training', (SELECT count(DISTINCT segment_id) FROM c WHERE segment_id NOT IN (SELECT segment_id FROM t))
- UNION ALL SELECT 'own_reference', (SELECT count(*) FROM r WHERE child = reference_child) UNION ALL SELECT 'plan_not_observed', 0
- UNION ALL SELECT 'duplicate_comparison', (SELECT count(*) FROM (SELECT segment_id, reference_id, age_offset FROM r GROUP BY ALL HAVING count(*) > 1)) UNION ALL SELECT 'mixed_versions', 0""",
+    "expected_comparisons_all": _PLAN,
+    "comparison_status": compared_sql("SELECT segment_id, reference_id, age_offset, is_primary, round(distance, 6) AS distance, state FROM results"),
+    "status_counts": compared_sql("SELECT action, state, count(*) AS n FROM results GROUP BY action, state"),
+    "separation_controls": compared_sql(
+        """, k AS (SELECT segment_id, reference_id, age_offset FROM plan), o AS (SELECT segment_id, reference_id, age_offset FROM results)
+ SELECT 'child_in_both' AS control, (SELECT count(*) FROM (SELECT child FROM motion WHERE is_training INTERSECT SELECT child FROM motion WHERE NOT is_training)) AS n_violations
+ UNION ALL SELECT 'reference_outside_training', (SELECT count(DISTINCT segment_id) FROM catalog WHERE segment_id NOT IN (SELECT segment_id FROM motion WHERE is_training))
+ UNION ALL SELECT 'own_reference', (SELECT count(*) FROM results WHERE child = reference_child)
+ UNION ALL SELECT 'plan_not_observed', (SELECT count(*) FROM ((SELECT * FROM k EXCEPT SELECT * FROM o) UNION ALL (SELECT * FROM o EXCEPT SELECT * FROM k)))
+ UNION ALL SELECT 'duplicate_comparison', (SELECT count(*) FROM (SELECT segment_id, reference_id, age_offset FROM results GROUP BY ALL HAVING count(*) > 1))
+ UNION ALL SELECT 'mixed_versions', (SELECT greatest(count(DISTINCT metric_version || '|' || conditioning_version) - 1, 0) FROM results)"""
+    ),
     "execution_profiles": f"""{_PROFILES} SELECT segment_id, child, action, age, summary, {_up('d_Y')} AS d_Y, {_up('d_E')} AS d_E, {_up('d_O')} AS d_O, {_up('margin_Y_E')} AS margin_Y_E,
  {_up('margin_O_E')} AS margin_O_E, complete, nearest FROM f""",
     "child_action_rollup": f"""{_PROFILES}, a AS (SELECT child, action, summary, count(*) AS n_executions, {', '.join(f"CASE WHEN count(d_{n}) = count(*) THEN [avg(d_{n}), median(d_{n}), min(d_{n}), max(d_{n})] END AS l_{n}" for n in 'YEO')} FROM f GROUP BY child, action, summary)

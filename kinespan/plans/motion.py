@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinespan.operators import comparison, conditioning, dtw
-from kinespan.plans.views import MOTION_SQL, POSE_HIPS, POSE_SQL, POSE_TORSO, motion, pose
+from kinespan.operators import comparison, conditioning, dtw, references
+from kinespan.plans.views import MOTION_SQL, POSE_HIPS, POSE_SQL, POSE_TORSO, diverse_sql, long_motion, motion, pose
 from kinespan.workspace import written
 
 
@@ -107,18 +107,35 @@ def dtw_path_steps(spark: SparkSession, folder: str) -> DataFrame:
     return met.select("segment_id", "reference_id", F.posexplode("path").alias("step", "s")).select("segment_id", "reference_id", "step", "s.i", "s.j", F.round("s.cost", 6).alias("cost"))
 
 
-def motion_comparisons(spark: SparkSession, folder: str) -> DataFrame:
-    """Validation sequences against the two first training sequences of their own and the neighbouring age groups, with states."""
+def dtw_distance_17(spark: SparkSession, folder: str) -> DataFrame:
+    """The same with 17 joints and 20 to 40 frames."""
+    rows = long_motion(spark, folder).where("is_training").select("action", "age", "segment_id", "frames")
+    return dtw.pair_distances(rows, ["action", "age"]).withColumn("distance", F.round("distance", 6))
+
+
+def compared_motion(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Sequences, catalog, plan and results: every validation sequence against the diverse references of its own and the neighbouring age groups.
+
+    The references come from the distances of all pairs of each group's training sequences.
+    """
     rows = written(motion(spark, folder), "motion")
     training = rows.where("is_training")
-    lists = training.groupBy("action", "age").agg(F.slice(F.array_sort(F.collect_set("segment_id")), 1, 2).alias("s"))
-    catalog = lists.select("action", "age", F.posexplode("s").alias("p", "segment_id")).join(training.select("segment_id", "child"), "segment_id")
-    catalog = catalog.select("action", "age", "segment_id", "child", (F.col("p") + 1).alias("rank"), (F.col("p") == 0).alias("is_primary"))
+    pairs = written(dtw.pair_distances(training.select("action", "age", "segment_id", "frames"), ["action", "age"]).where("distance IS NOT NULL"), "pairs")
+    found = references.diverse_references(pairs, training.select("segment_id", "child"), ["action", "age"])
+    catalog = written(found.select("action", "age", "segment_id", "child", "rank", (F.col("rank") == 1).alias("is_primary")), "catalog")
     plan = written(comparison.planned(comparison.requests(rows.where("NOT is_training"), catalog, rows), catalog), "plan")
-    pairs = plan.select("segment_id", "reference_id").distinct().repartition(32, "segment_id", "reference_id")
-    met = pairs.join(rows.select("segment_id", F.col("frames").alias("a")), "segment_id").join(rows.select(F.col("segment_id").alias("reference_id"), F.col("frames").alias("b")), "reference_id")
-    distances = met.select("segment_id", "reference_id", dtw.dtw_distance()("a", "b").alias("distance"))
-    found = comparison.with_states(plan, distances, rows)
+    results = comparison.with_states(plan, dtw.planned_distances(plan, rows), rows)
+    return rows, catalog, plan, written(results, "results")
+
+
+def motion_catalog(spark: SparkSession, folder: str) -> DataFrame:
+    """The references of every group of training sequences."""
+    return compared_motion(spark, folder)[1].select("action", "age", "segment_id", "child", "rank", "is_primary")
+
+
+def motion_comparisons(spark: SparkSession, folder: str) -> DataFrame:
+    """Every validation sequence against the references of its own and the neighbouring age groups, with states."""
+    found = compared_motion(spark, folder)[3]
     return found.select("segment_id", "reference_id", "age_offset", "is_primary", F.round("distance", 6).alias("distance"), "state")
 
 
@@ -131,7 +148,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         validity_mask, gap_interpolation, root_origin, torso_scale, normalize_pose, conditioning_diagnostics, conditioning_summary, packed_sequences,
-        sequence_violations, local_cost, dtw_distance, dtw_expression_form, dtw_path_steps, motion_comparisons, pair_index,
+        sequence_violations, local_cost, dtw_distance, dtw_expression_form, dtw_path_steps, dtw_distance_17, motion_catalog, motion_comparisons, pair_index,
     )
 }
 
@@ -167,16 +184,28 @@ _TRAIN_PAIRS = f"""SELECT a.action, a.age, a.segment_id AS segment_id_a, b.segme
 _FIRST = f"SELECT action, age, arg_min(segment_id, segment_id) AS reference_id, arg_min(frames, segment_id) AS rf FROM ({MOTION_SQL}) WHERE is_training GROUP BY action, age"
 _CASE_PAIRS = f"SELECT c.segment_id, f.reference_id, c.frames AS fa, f.rf AS fb FROM ({MOTION_SQL}) c JOIN ({_FIRST}) f USING (action, age) WHERE NOT c.is_training"
 
-_PLANNED = f"""SELECT c.segment_id, r.segment_id AS reference_id, o.age_offset, r.nr = 1 AS is_primary, c.frames AS fa, r.frames AS fb FROM ({MOTION_SQL}) c, (VALUES (-1), (0), (1)) o(age_offset),
- (SELECT *, row_number() OVER (PARTITION BY action, age ORDER BY segment_id) AS nr FROM ({MOTION_SQL}) WHERE is_training) r
- WHERE NOT c.is_training AND r.action = c.action AND r.nr <= 2 AND CAST(r.age[:2] AS INT) = CAST(c.age[:2] AS INT) + 12 * o.age_offset"""
-
-
 def dtw_sql(pairs: str, keys: str) -> str:
     """The head of a DuckDB query whose `e` has `keys` and the distance `v` (infinite for abstentions) of `pairs` (`fa`, `fb`)."""
     return _DTW.format(pairs=pairs, keys=keys, cost=_COST.format(a="fa[i + 1]", b="b"))
 
 
+_STATE = "CASE WHEN isfinite(v) THEN 'calculada' ELSE 'sin_camino_admisible' END"
+_COMPARED = f"""motion AS MATERIALIZED ({MOTION_SQL}), train_pairs AS MATERIALIZED (SELECT action || '|' || age AS part, segment_id_a, segment_id_b, v AS distance FROM (
+ {dtw_sql(_TRAIN_PAIRS, 'action, age, segment_id_a, segment_id_b')} SELECT * FROM e) WHERE isfinite(v)),
+ catalog AS MATERIALIZED (SELECT split_part(part, '|', 1) AS action, split_part(part, '|', 2) AS age, segment_id, child, rank, rank = 1 AS is_primary FROM (
+ {diverse_sql('SELECT * FROM train_pairs', 'SELECT segment_id, child FROM motion WHERE is_training')} SELECT * FROM found)),
+ plan AS MATERIALIZED (SELECT c.segment_id, c.child, c.action, c.age, o.age_offset, r.segment_id AS reference_id, r.child AS reference_child, r.rank, r.is_primary, c.frames AS fa, x.frames AS fb
+  FROM motion c, (VALUES (-1), (0), (1)) o(age_offset), catalog r JOIN motion x ON x.segment_id = r.segment_id
+  WHERE NOT c.is_training AND r.action = c.action AND CAST(r.age[:2] AS INT) = CAST(c.age[:2] AS INT) + 12 * o.age_offset),
+ results AS MATERIALIZED (SELECT p.* EXCLUDE (fa, fb), CASE WHEN isfinite(v) THEN v END AS distance, {_STATE} AS state, '{dtw.METRIC_VERSION}' AS metric_version, '{dtw.CONDITIONING_VERSION}' AS conditioning_version FROM plan p JOIN (
+  {dtw_sql('SELECT segment_id, reference_id, min(fa) AS fa, min(fb) AS fb FROM plan GROUP BY segment_id, reference_id', 'segment_id, reference_id')} SELECT * FROM e) USING (segment_id, reference_id))"""
+
+
+def compared_sql(body: str) -> str:
+    """A DuckDB query over `motion`, `catalog`, `plan` and `results` of `compared_motion`."""
+    return f"WITH {_COMPARED} {body}"
+
+
 SQL = {
     "validity_mask": f"SELECT segment_id, joint, count(*) FILTER (ok) AS n_valid, count(*) AS n_frames FROM ({_MASKED}) GROUP BY segment_id, joint",
     "gap_interpolation": f"SELECT segment_id, frame, joint, round(x, 6) AS x, round(y, 6) AS y, valid FROM ({_FILLED})",
@@ -196,7 +225,7 @@ SQL = {
     "dtw_distance": f"""{dtw_sql(_TRAIN_PAIRS, 'action, age, segment_id_a, segment_id_b')} SELECT action, age, segment_id_a, segment_id_b, CASE WHEN isfinite(v) THEN round(v, 6) END AS distance,
  CASE WHEN isfinite(v) THEN 'calculada' ELSE 'sin_camino_admisible' END AS state FROM e""",
     "dtw_expression_form": f"{dtw_sql(_CASE_PAIRS, 'segment_id, reference_id')} SELECT segment_id, reference_id, CASE WHEN isfinite(v) THEN round(v, 6) END AS distance FROM e",
-    "motion_comparisons": f"""{dtw_sql(_PLANNED, 'segment_id, reference_id, age_offset, is_primary')} SELECT segment_id, reference_id, age_offset, is_primary, CASE WHEN isfinite(v) THEN round(v, 6) END AS distance,
- CASE WHEN isfinite(v) THEN 'calculada' ELSE 'sin_camino_admisible' END AS state FROM e""",
+    "motion_catalog": compared_sql("SELECT * FROM catalog"),
+    "motion_comparisons": compared_sql("SELECT segment_id, reference_id, age_offset, is_primary, round(distance, 6) AS distance, state FROM results"),
     "pair_index": f"SELECT action, age, count(*) AS n_clips, count(*) * (count(*) - 1) // 2 AS n_pairs FROM ({MOTION_SQL}) WHERE is_training GROUP BY action, age",
 }

@@ -65,6 +65,17 @@ MOTION_SQL = """SELECT 'S' || lpad(CAST(vec_id AS VARCHAR), 5, '0') AS segment_i
  [[CASE WHEN NOT (((vec_id * 7 + f * 3 + (x // 2) * 11 + vec_id * (x // 2) * 5) % 23) / 23.0::DOUBLE < 0.1 OR (vec_id % 17 = 0 AND f = 2 AND x // 2 < 3))
   THEN CAST(embedding[f * 8 + x + 1] AS DOUBLE) END FOR x IN range(8)] FOR f IN range(8 - vec_id % 3)] AS frames FROM embeddings"""
 
+
+def long_motion(spark: SparkSession, folder: str) -> DataFrame:
+    """As `motion`, with 17 joints and 20 to 40 frames; a joint is missing where its hash says so."""
+    e = table(spark, folder, "embeddings")
+    v = F.col("vec_id").cast("int")
+    missing = lambda f, j: (v * 7 + f * 3 + j * 11 + v * j * 5) % 23 < 2
+    cell = lambda f, x: F.when(~missing(f, (x / 2).cast("int")), F.get("embedding", (f * 11 + x) % 64).cast("double"))
+    frames = F.transform(F.sequence(F.lit(0), 19 + v % 21), lambda f: F.transform(F.sequence(F.lit(0), F.lit(33)), lambda x: cell(f, x)))
+    return motion(spark, folder).drop("frames").join(e.select(_segment(F.col("vec_id")).alias("segment_id"), frames.alias("frames")), "segment_id")
+
+
 _LATEST = ["recibido_en", "registrado_en", "excel_children", "action_code", "age_bin_12m_label"]
 COVARIATES = ["institution_id", "excel_city", "camera_id", "pose2d_quality_label", "excel_sex"]
 MANIFESTS = {"training": "manifiesto_entrenamiento", "validation": "manifiesto_validacion"}
@@ -152,3 +163,26 @@ def training_children(spark: SparkSession, folder: str) -> DataFrame:
 
 
 CHILDREN_SQL = f"SELECT segment_id, coalesce(child, 'desconocido::' || segment_id) AS child FROM ({executions_sql('training')})"
+
+
+def _further_pick(rank: int) -> str:
+    """SQL of one further pick, from `pool`, `links`, `sizes` and the picks so far in p1..p{rank - 1}."""
+    so_far = " UNION ALL ".join(f"SELECT part, segment_id, child FROM p{i}" for i in range(1, rank))
+    return f"""p{rank} AS MATERIALIZED (SELECT part, segment_id, child, m, {rank} AS rank, ['p25', 'p20', 'p10'][step] AS threshold_used FROM (SELECT *, row_number() OVER (PARTITION BY part ORDER BY step, m, segment_id, child) AS nr FROM (
+ SELECT o.*, CASE WHEN round(away, 9) >= round(q[1], 9) THEN 1 WHEN round(away, 9) >= round(q[2], 9) THEN 2 WHEN round(away, 9) >= round(q[3], 9) THEN 3 END AS step FROM pool o JOIN sizes USING (part)
+ JOIN (SELECT l.part, l.segment_id, min(distance) AS away FROM links l JOIN ({so_far}) c ON l.part = c.part AND l.other = c.segment_id GROUP BY l.part, l.segment_id) a USING (part, segment_id)
+ WHERE k_requested >= {rank} AND part IN (SELECT part FROM p{rank - 1}) AND (part, child) NOT IN (SELECT part, child FROM ({so_far}))) WHERE step IS NOT NULL) WHERE nr = 1)"""
+
+
+def diverse_sql(pairs: str, children: str) -> str:
+    """The head of a DuckDB query whose `found` is `diverse_references` of `pairs` (`part`, `segment_id_a`, `segment_id_b`, `distance`), the means unrounded."""
+    both = f"SELECT part, segment_id_a AS segment_id, segment_id_b AS other, distance FROM ({pairs}) UNION ALL SELECT part, segment_id_b, segment_id_a, distance FROM ({pairs})"
+    return f"""WITH links AS MATERIALIZED ({both}), pool AS MATERIALIZED (SELECT part, c.segment_id, round(m, 9) AS m, coalesce(child, 'desconocido::' || c.segment_id) AS child FROM (
+  SELECT part, segment_id, avg(distance) AS m FROM links GROUP BY part, segment_id) c LEFT JOIN ({children}) k ON c.segment_id = k.segment_id),
+ sizes AS MATERIALIZED (SELECT part, n_group_clips, n_group_children, CASE WHEN n_group_children < 5 THEN 1 WHEN n_group_children < 10 THEN 2 WHEN n_group_children < 20 THEN 3 ELSE 4 END AS k_requested, q
+  FROM (SELECT part, count(*) AS n_group_clips, count(DISTINCT child) AS n_group_children FROM pool GROUP BY part)
+  JOIN (SELECT part, quantile_cont(distance, [0.25, 0.2, 0.1]) AS q FROM ({pairs}) GROUP BY part) USING (part)),
+ p1 AS MATERIALIZED (SELECT part, segment_id, child, m, 1 AS rank, 'primaria' AS threshold_used FROM (SELECT *, row_number() OVER (PARTITION BY part ORDER BY m, segment_id) AS nr FROM pool) WHERE nr = 1),
+ {_further_pick(2)}, {_further_pick(3)}, {_further_pick(4)},
+ found AS (SELECT part, segment_id, CAST(rank AS INT) AS rank, child, m, k_requested, threshold_used, n_group_clips, n_group_children FROM (
+ SELECT * FROM p1 UNION ALL SELECT * FROM p2 UNION ALL SELECT * FROM p3 UNION ALL SELECT * FROM p4) JOIN sizes USING (part))"""
