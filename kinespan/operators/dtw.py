@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinespan.workspace import written
+from kinespan.workspace import spread, written
 
 SUPPORT = 0.5
 #: Segments of a block: a task makes the pairs of two blocks.
@@ -261,7 +261,8 @@ def pair_distances(sequences: DataFrame, groups: list[str], support: float = SUP
     ))))
     sent = placed.select(*groups, "segment_id", "frames", F.explode(tiles).alias("_t")).select(*groups, "segment_id", "frames", "_t.*").withColumn("_same", F.col("_a") == F.col("_b"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields if f.name in groups) + ", segment_id_a string, segment_id_b string, distance double"
-    return sent.groupBy(*groups, "_a", "_b").applyInPandas(_tile(groups, support), schema)
+    tiles_in_all = sizes.agg(F.sum(F.col("_blocks").cast("long") * (F.col("_blocks") + 1) / 2)).first()[0] or 0
+    return spread(sent, [*groups, "_a", "_b"], int(tiles_in_all)).groupBy(*groups, "_a", "_b").applyInPandas(_tile(groups, support), schema)
 
 
 def planned_distances(plan: DataFrame, sequences: DataFrame, support: float = SUPPORT, pairs_of_task: int = TILE * TILE) -> DataFrame:
@@ -285,6 +286,7 @@ def planned_distances(plan: DataFrame, sequences: DataFrame, support: float = SU
         found = distances(made, made, i, j, support) if len(i) else np.zeros(0)
         return pd.DataFrame({"segment_id": wanted["segment_id"].to_numpy(object), "reference_id": wanted["reference_id"].to_numpy(object), "distance": pd.Series(found, dtype="float64").where(np.isfinite(found), None)})
 
+    asked, sent = spread(asked, ["_a", "_b"], side * side), spread(sent, ["_c", "_d"], side * side)
     return asked.groupBy("_a", "_b").cogroup(sent.groupBy("_c", "_d")).applyInPandas(run, "segment_id string, reference_id string, distance double")
 
 

@@ -86,6 +86,37 @@ def choose_k(curve: DataFrame, keys: list[str], cap: int, rules: dict[str, float
     return found.select(*keys, F.coalesce("s", "f", "b", F.lit(1)).alias("selected_k"), reason.alias("reason"), F.col("s").isNotNull().alias("strict"))
 
 
+#: What a group's number of templates is called.
+K_STATUS = {1: "single_template_sufficient", 2: "two_templates_preferred", 3: "three_templates_preferred", 4: "four_templates_preferred", 5: "five_templates_preferred"}
+
+
+def select_k(curve: DataFrame, keys: list[str], rules: dict[str, float] = K_RULES) -> DataFrame:
+    """`keys`, `selected_k`, `selected_k_cap3`, `selected_k_cap5`, `strict`, `reason`, `status` and the statistics of the chosen k.
+
+    Up to three templates are chosen; more only where a cap of five finds a strict choice above three. `curve` as for `choose_k`.
+    """
+    of = lambda cap: choose_k(curve, keys, cap, rules).select(*keys, *[F.col(c).alias(f"_{c}{cap}") for c in ("selected_k", "reason", "strict")])
+    met = of(3).join(of(5), keys)
+    more = (F.col("_selected_k5") > 3) & F.col("_strict5")
+    pick = lambda c: F.when(more, F.col(f"_{c}5")).otherwise(F.col(f"_{c}3"))
+    reason = F.when(more, F.concat(F.lit("research_extension_above_cap3:"), "_reason5")).otherwise(F.concat(F.lit("operational_cap3:"), "_reason3"))
+    chosen = met.select(*keys, pick("selected_k").alias("selected_k"), F.col("_selected_k3").alias("selected_k_cap3"), F.col("_selected_k5").alias("selected_k_cap5"), pick("strict").alias("strict"), reason.alias("reason"))
+    row = curve.select(*keys, F.col("k").alias("selected_k"), "support_rate", "loss_mean", "loss_se", "p90_mean", "geometry_median", "ari_median")
+    names = F.create_map(*[F.lit(x) for pair in K_STATUS.items() for x in pair])
+    status = (
+        F.when(~F.coalesce(F.col("support_rate") >= rules["support"], F.lit(False)), "insufficient_support").when(~F.col("strict") & (F.col("selected_k") > 1), "high_heterogeneity_no_stable_k")
+        .otherwise(F.try_element_at(names, F.col("selected_k")))
+    )
+    return chosen.join(row, [*keys, "selected_k"], "left").withColumn("status", status)
+
+
+def k_policies(curve: DataFrame, selected: DataFrame, keys: list[str]) -> DataFrame:
+    """`keys`, `policy`, `selected_k` and its loss: one template, the caps of three and five, and the choice of `select_k`."""
+    policies = [("fixed_k1", F.lit(1)), ("cap_k3", F.col("selected_k_cap3")), ("cap_k5", F.col("selected_k_cap5")), ("adaptive_operational", F.col("selected_k"))]
+    each = selected.select(*keys, F.explode(F.array(*[F.struct(F.lit(n).alias("policy"), k.alias("selected_k")) for n, k in policies])).alias("p")).select(*keys, "p.*")
+    return each.join(curve.select(*keys, F.col("k").alias("selected_k"), "loss_mean", "loss_se", "p90_mean", "support_rate"), [*keys, "selected_k"])
+
+
 def one_se_n(curve: DataFrame, keys: list[str]) -> DataFrame:
     """`keys`, `n_1se`: the least size under the maximum whose loss is within a standard error of the best of them."""
     under = curve.where("n_children < maximum")

@@ -15,9 +15,10 @@ from pyspark.sql import functions as F
 from kinespan.operators.references import both_ways
 from kinespan.workspace import written
 
-#: A swap must lower the objective by more than this.
-TOLERANCE = 1e-12
-MAX_SWAPS = 50
+#: A swap must lower the objective by more than this, and by more than this share of it: sums of very large costs are no more exact.
+TOLERANCE, RELATIVE = 1e-12, 1e-9
+#: Rounds of swaps after which it is an error that they still find one.
+MAX_SWAPS = 1_000
 #: A template's least number of children: 5, or this share of the group's.
 SUPPORT_SHARE, SUPPORT_LEAST = 0.15, 5
 
@@ -154,16 +155,16 @@ def refined_templates(cost: DataFrame, templates: DataFrame, keys: list[str]) ->
             F.avg(F.least("cost", without)).alias("v"), F.first("held").alias("held")
         )
         ids = _ids(F.transform("held", lambda h: F.when(h["slot"] == F.col("slot"), F.col("candidate")).otherwise(h["candidate"])))
-        key = F.struct(F.round("v", 9).alias("v"), ids.alias("ids"), F.col("slot").alias("slot"), F.col("candidate").alias("c"), F.col("candidate_child").alias("h"))
+        key = F.struct(F.round("v", 9).alias("v"), ids.alias("ids"), F.col("slot").alias("slot"), F.col("candidate").alias("c"), F.col("candidate_child").alias("h"), F.col("v").alias("exact"))
         now = two.groupBy(*keys).agg(F.avg("c1").alias("now"))
-        best = written(value.groupBy(*keys).agg(F.min(key).alias("s")).join(now, keys).where(F.col("s.v") < F.round("now", 9) - TOLERANCE), "swaps")
+        best = written(value.groupBy(*keys).agg(F.min(key).alias("s")).join(now, keys).where(F.col("s.exact") < F.col("now") - F.greatest(F.lit(TOLERANCE), F.col("now") * RELATIVE)), "swaps")
         if not best.take(1):
             return state
         swap = best.select(*keys, F.col("s.slot").alias("slot"), F.col("s.c").alias("_c"), F.col("s.h").alias("_h"))
         state = written(
             state.join(swap, [*keys, "slot"], "left").select(*keys, "slot", F.coalesce("_c", "candidate").alias("candidate"), F.coalesce("_h", "candidate_child").alias("candidate_child")), "templates"
         )
-    return state
+    raise RuntimeError(f"swaps still lower an objective after {MAX_SWAPS} rounds")
 
 
 def solved_templates(cost: DataFrame, keys: list[str], k: int, starts: int = 5, seed: int = 20260715) -> DataFrame:

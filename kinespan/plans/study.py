@@ -1,7 +1,8 @@
 """Queries of the resampling study and of reports.
 
-`study_trials` solves real trials on the stored matrices. What is made of trials is checked against
-SQL on a table of trials derived from `lineitem`, so that both engines see the same numbers.
+`study_trials` solves trials on the stored matrices; curves, choices of k and n and the final templates
+(`study_trial_...`, `study_template_catalog`) are made of them. The arithmetic of these steps is checked
+against SQL on a table of trials derived from `lineitem`, so that both engines see the same numbers.
 """
 
 from __future__ import annotations
@@ -10,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinespan.functions.labels import BLANKS
-from kinespan.operators import checks, reporting, resampling, study
+from kinespan.operators import checks, packed_trials, reporting, resampling, study
 from kinespan.operators.comparison import AGE_GROUPS
 from kinespan.plans import views
 from kinespan.plans.groups import _shown, _up
@@ -21,8 +22,14 @@ from kinespan.workspace import written
 
 PART = ["part"]
 GROUP = ["action", "age"]
-#: Repetitions and sizes of the registered study.
-REPETITIONS, SIZES, KS = 2, [5, 10], [1, 2]
+#: Repetitions of the registered study; sizes, numbers of templates and starts are those of the full one.
+REPETITIONS, KS = 10, [1, 2, 3, 4, 5]
+#: What curves are made of.
+METRICS = [
+    "holdout_loss", "holdout_loss_median", "holdout_p90", "holdout_clip_loss", "excess_normalized", "match_mean_between", "match_mean_within", "agreement", "ari", "cluster_jaccard_mean",
+    "partner_match_mean_between", "partner_ari", "partner_agreement", "reduction_vs_k1", "gain_vs_previous_k", "gain_per_child_normalized", "ambiguous", "consistency",
+]
+POINT = ["part", "scheme", "n_children", "maximum", "k"]
 
 
 def _children(spark: SparkSession, folder: str) -> DataFrame:
@@ -37,15 +44,97 @@ def resampling_sizes(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _trials(spark: SparkSession, folder: str) -> DataFrame:
-    distances = _distances(spark, folder, complete=False)
-    planned = written(resampling.plan(distances.select("part", "child"), PART, REPETITIONS), "plan")
-    return written(resampling.trials(distances, planned, PART, KS, SIZES, starts=2), "trials")
+    """Trials of every matrix: packed ones in tasks of their own, larger ones on the long table of costs."""
+    small, large = packed_trials.packed_matrices(_distances(spark, folder, complete=False), PART)
+    found = packed_trials.trials(small, PART, KS, repetitions=REPETITIONS)
+    if not large.isEmpty():
+        planned = written(resampling.plan(large.select("part", "child"), PART, REPETITIONS), "plan")
+        found = found.unionByName(resampling.trials(large, planned, PART, KS), allowMissingColumns=True)
+    return written(found, "trials")
 
 
 def study_trials(spark: SparkSession, folder: str) -> DataFrame:
-    """Solved trials of every matrix, each against that with most children."""
-    found = resampling.against_largest(_trials(spark, folder), PART)
-    return found.withColumn("ids", F.array_join("ids", "|"))
+    """Solved trials of every matrix, each against that with most children and that of the next repetition."""
+    joined = lambda c: F.array_join(F.col(c).cast("array<string>"), "|").alias(c)
+    found = _trials(spark, folder)
+    return found.select(*[joined(c) if t.startswith("array") else F.col(c) for c, t in found.dtypes])
+
+
+def _trial_curves(spark: SparkSession, folder: str) -> DataFrame:
+    """Curves of the solved trials over sizes and numbers of templates."""
+    gained = resampling.paired_gains(_trials(spark, folder), PART)
+    gained = gained.withColumn("gain_per_child_normalized", F.col("gain_per_child") / F.when(F.col("between") > 0, F.col("between"))).withColumn("set_id", F.array_join("ids", "|"))
+    gained = gained.withColumn("steepness", F.abs("gain_per_child_normalized"))
+    found = study.curves(gained, POINT, METRICS, ["support_ok", "exact_match"], "set_id")
+    more = gained.groupBy(*POINT).agg(F.percentile("steepness", F.lit(0.5)).alias("marginal"), F.first("between").alias("between"), F.avg("jaccard").alias("jaccard_mean"), F.avg("near_overlap").alias("near_overlap_mean"))
+    return found.join(more, POINT)
+
+
+def study_trial_curves(spark: SparkSession, folder: str) -> DataFrame:
+    """Eighteen statistics of the solved trials by scheme, size and number of templates, each with mean, spread and quantiles."""
+    return _trial_curves(spark, folder)
+
+
+def _k_curve(curve: DataFrame) -> DataFrame:
+    """What `select_k` reads, at each matrix's largest size; covariates do not enter here."""
+    return curve.where("scheme = 'primary_h3' AND n_children = maximum").select(
+        "part", "k", F.col("support_ok_rate").alias("support_rate"), F.lit(None).cast("boolean").alias("dominant"), F.col("holdout_loss_mean").alias("loss_mean"), F.col("holdout_loss_se").alias("loss_se"),
+        F.col("gain_vs_previous_k_median").alias("gain_median"), F.col("holdout_p90_mean").alias("p90_mean"), F.col("partner_match_mean_between_median").alias("geometry_median"),
+        F.col("partner_ari_median").alias("ari_median"),
+    )
+
+
+def study_trial_k(spark: SparkSession, folder: str) -> DataFrame:
+    """The number of templates that every matrix's trials support, by the study's own rules."""
+    return study.select_k(written(_k_curve(_trial_curves(spark, folder)), "curve"), PART)
+
+
+def study_trial_policies(spark: SparkSession, folder: str) -> DataFrame:
+    """The loss of every matrix under one template, caps of three and five, and the chosen number."""
+    curve = written(_k_curve(_trial_curves(spark, folder)), "curve")
+    return study.k_policies(curve, study.select_k(curve, PART), PART)
+
+
+def study_trial_n(spark: SparkSession, folder: str) -> DataFrame:
+    """The number of children from which every matrix's trials are stable, at its chosen number of templates, by the study's own rules."""
+    curve = written(_trial_curves(spark, folder), "curve")
+    chosen = study.select_k(written(_k_curve(curve), "curve"), PART).select("part", F.col("selected_k").alias("k"))
+    scale = F.when(F.col("between") > 0, F.col("between"))
+    points = curve.where("scheme = 'primary_h3'").join(chosen, ["part", "k"]).select(
+        "part", "n_children", "maximum", F.col("excess_normalized_median").alias("excess_median"), F.col("excess_normalized_p90").alias("excess_p90"),
+        F.col("match_mean_between_median").alias("geometry_median"), F.col("match_mean_between_p90").alias("geometry_p90"), F.col("agreement_median").alias("agreement_median"),
+        "ari_median", F.col("support_ok_rate").alias("support_rate"), "marginal", (F.col("holdout_loss_mean") / scale).alias("loss_mean"), (F.col("holdout_loss_se") / scale).alias("loss_se"),
+    )
+    return study.select_n(points, PART)
+
+
+def study_full_solutions(spark: SparkSession, folder: str) -> DataFrame:
+    """The templates of every matrix solved over all its children, for one to five."""
+    small, _ = packed_trials.packed_matrices(_distances(spark, folder, complete=False), PART)
+    found = packed_trials.full_solutions(small, PART, KS)
+    return found.withColumn("assigned_children", F.array_join("assigned_children", "|"))
+
+
+def study_child_stability(spark: SparkSession, folder: str) -> DataFrame:
+    """How stably every child of a matrix is assigned over the repetitions."""
+    small, _ = packed_trials.packed_matrices(_distances(spark, folder, complete=False), PART)
+    found = packed_trials.assignment_stability(small, PART, KS, REPETITIONS)
+    return found.drop("together").withColumn("shares", F.array_join(F.col("shares").cast("array<string>"), "|"))
+
+
+def study_template_catalog(spark: SparkSession, folder: str) -> DataFrame:
+    """The final templates of every matrix: those over all children at its chosen number, with how often trials at its recommended size chose them."""
+    distances = _distances(spark, folder, complete=False)
+    trials, chosen = _trials(spark, folder), written(study_trial_k(spark, folder), "chosen")
+    small, _ = packed_trials.packed_matrices(distances, PART)
+    solutions = packed_trials.full_solutions(small, PART, KS).join(chosen.select("part", F.col("selected_k").alias("k"), "status"), ["part", "k"])
+    at = trials.where("scheme = 'primary_h3' AND n_children = maximum").select("part", "k", "ids")
+    frequency = study.selection_frequency(at, ["part", "k"], distances.select("part", "segment_id").distinct(), PART).select("part", "k", "segment_id", F.col("frequency").alias("selection_frequency"))
+    found = solutions.join(frequency, ["part", "k", "segment_id"], "left")
+    return found.select(
+        "part", F.col("k").alias("selected_k"), "status", "slot", "segment_id", "child", "n_assigned", (F.col("n_assigned") / F.col("n_children")).alias("assigned_share"), "own_loss_mean", "own_loss_median",
+        "own_loss_p90", "nearest_other", "selection_frequency", "support_ok",
+    )
 
 
 def study_selection_frequency(spark: SparkSession, folder: str) -> DataFrame:
@@ -243,7 +332,7 @@ def partner_geometry(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        resampling_sizes, study_trials, study_selection_frequency, trial_gains, trial_partners, study_curves, study_choose_k, study_select_n, study_size_summary, coassignment,
+        resampling_sizes, study_trials, study_trial_curves, study_trial_k, study_trial_policies, study_trial_n, study_full_solutions, study_child_stability, study_template_catalog, study_selection_frequency, trial_gains, trial_partners, study_curves, study_choose_k, study_select_n, study_size_summary, coassignment,
         assignment_stability, child_covariates, eta_squared, mutual_information, permutation_test, support_matrix, review_status, review_tally, policy_reduction, matrix_fingerprint,
         templates_per_group, stability_bands, confounders, confounder_effects, preflight, partner_geometry,
     )

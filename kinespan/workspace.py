@@ -52,3 +52,12 @@ def delete(spark: SparkSession, path: str) -> None:
     """Deletes a table that `written` or `new_path` made. Absent paths are no error."""
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+#: Tasks over which `spread` deals groups at most.
+MOST_TASKS = 50_000
+
+
+def spread(df: DataFrame, keys: list[str], n_groups: int) -> DataFrame:
+    """`df` dealt by `keys` into as many tasks as their `n_groups` groups are worth: few bytes may mean much work, so Spark must not merge them by size."""
+    return df.repartition(int(min(max(n_groups, 1), max(64, n_groups // 4), MOST_TASKS)), *keys)
