@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kinespan.operators.resampling import mode_text
+from kinespan.workspace import written
 
 #: The thresholds by which k is chosen.
 K_RULES = {"support": 0.8, "gain": 0.05, "gain_from_4": 0.10, "p90_worsening": 0.02, "geometry": 0.25, "ari": 0.5}
@@ -206,7 +207,11 @@ def eta_squared(rows: DataFrame, keys: list[str], label: str, value: str) -> Dat
 
 def mutual_information(labels: DataFrame, keys: list[str], left: str, right: str) -> DataFrame:
     """`keys`, `nmi` of two labelings over the arithmetic mean of their entropies; 1 if both have one class, 0 without information."""
-    cells = labels.groupBy(*keys, left, right).agg(F.count("*").alias("n"))
+    return _information(labels.groupBy(*keys, left, right).agg(F.count("*").alias("n")), keys, left, right)
+
+
+def _information(cells: DataFrame, keys: list[str], left: str, right: str) -> DataFrame:
+    """`mutual_information` of labelings whose pairs of labels are counted in `n`."""
     spread_ = lambda c, name: cells.groupBy(*keys, c).agg(F.sum("n").alias("n")).groupBy(*keys).agg((F.log(F.sum("n")) - F.sum(F.col("n") * F.log("n")) / F.sum("n")).alias(name))
     joint = cells.groupBy(*keys).agg((F.log(F.sum("n")) - F.sum(F.col("n") * F.log("n")) / F.sum("n")).alias("h"))
     met = joint.join(spread_(left, "a"), keys).join(spread_(right, "b"), keys)
@@ -219,18 +224,18 @@ def permutation_test(labels: DataFrame, keys: list[str], left: str, right: str,
 
     A permutation deals the group's `right` labels out again in the order of a seeded hash of the
     members; all permutations of all groups are counted in one aggregation. Groups with one `left` label have effect 0 and p 1.
+    The members' places and the counted labels are written, so that the rows are dealt once.
     """
-    rows = labels.select(*keys, member, left, right)
-    order = Window.partitionBy(*keys).orderBy(member)
-    placed = rows.withColumn("_at", F.row_number().over(order)).withColumn("_p", F.explode(F.sequence(F.lit(0), F.lit(permutations))))
-    shuffled = Window.partitionBy(*keys, "_p").orderBy(F.when(F.col("_p") == 0, F.lit(0)).otherwise(F.xxhash64(F.lit(seed), "_p", *keys, member)), member)
-    dealt = placed.withColumn("_to", F.row_number().over(shuffled))
-    given = dealt.select(*keys, "_p", F.col("_to").alias("_at"), F.col(right).alias("_right"))
-    met = dealt.select(*keys, "_p", "_at", left).join(given, [*keys, "_p", "_at"])
-    each = mutual_information(met, [*keys, "_p"], left, "_right")
-    own = each.where("_p = 0").select(*keys, F.col("nmi").alias("effect"))
-    strong = each.where("_p > 0").join(own, keys).groupBy(*keys, "effect").agg(((F.count_if(F.col("nmi") >= F.col("effect") - 1e-12) + 1) / F.lit(permutations + 1)).alias("p_value"))
-    several = rows.groupBy(*keys).agg((F.count_distinct(left) > 1).alias("_several"))
+    placed = written(labels.select(*keys, member, left, right).withColumn("_at", F.row_number().over(Window.partitionBy(*keys).orderBy(member))), "placed")
+    place = F.when(F.col("_p") == 0, F.lit(0).cast("long")).otherwise(F.xxhash64(F.lit(seed), "_p", *keys, member))
+    each = placed.withColumn("_p", F.explode(F.sequence(F.lit(0), F.lit(permutations)))).select(*keys, "_p", "_at", F.col(right).alias("_right"), place.alias("_place"))
+    given = each.select(*keys, "_p", "_right", F.row_number().over(Window.partitionBy(*keys, "_p").orderBy("_place", "_at")).alias("_at"))
+    met = given.join(placed.select(*keys, "_at", left), [*keys, "_at"])
+    cells = written(met.groupBy(*keys, "_p", left, "_right").agg(F.count("*").alias("n")), "cells")
+    strength = written(_information(cells, [*keys, "_p"], left, "_right"), "strength")
+    own = strength.where("_p = 0").select(*keys, F.col("nmi").alias("effect"))
+    strong = strength.where("_p > 0").join(own, keys).groupBy(*keys, "effect").agg(((F.count_if(F.col("nmi") >= F.col("effect") - 1e-12) + 1) / F.lit(permutations + 1)).alias("p_value"))
+    several = cells.where("_p = 0").groupBy(*keys).agg((F.count_distinct(left) > 1).alias("_several"))
     return strong.join(several, keys).select(*keys, F.when(F.col("_several"), F.col("effect")).otherwise(0.0).alias("effect"), F.when(F.col("_several"), F.col("p_value")).otherwise(1.0).alias("p_value"))
 
 

@@ -193,3 +193,14 @@ def test_a_missing_pair_costs_no_clip(spark):
     want = {(f"k{a}", b): (0.0 if a == b else known.get((min(a, b), max(a, b))), True) for a in "abcd" for b in "abcd"}
     assert got == want | {("kc", "d"): (4.0, False), ("kd", "c"): (5.0, False)}
     assert [r["candidate"] for r in T.solved_templates(cost, KEYS, 2).orderBy("slot").collect()] == ["a", "d"]
+
+
+def test_permuted_rows_are_dealt_once(spark, monkeypatch):
+    """The rows times permutations are sorted and counted in one plan; what follows reads the counts."""
+    seen = {}
+    keep = study.written
+    monkeypatch.setattr(study, "written", lambda df, name: seen.setdefault(name, df._jdf.queryExecution().executedPlan().toString()) and keep(df, name), raising=False)
+    df = spark.createDataFrame([("g", f"m{i:02d}", "ab"[i % 2], "xy"[i // 3 % 2]) for i in range(30)], "g string, m string, l string, r string")
+    found = study.permutation_test(df, KEYS, "l", "r", "m", 10)
+    assert "Window" not in found._jdf.queryExecution().executedPlan().toString() and found.count() == 1
+    assert seen["cells"].count("row_number") > 0 and seen["cells"].count("Generate explode") == 1
