@@ -99,3 +99,13 @@ def test_all_references_of_a_group_are_planned_against(spark):
     asked = plan.select("action", F.col("target_age").alias("age")).distinct()
     stored = views.topk(spark, folder).join(asked, ["action", "age"]).select("action", "age", "segment_id").distinct()
     assert {tuple(r) for r in plan.collect()} == {tuple(r) for r in stored.collect()}
+
+
+def test_a_hot_group_is_planned_in_many_tasks(spark, monkeypatch):
+    """All requests ask for one group; no task makes most of its comparisons."""
+    monkeypatch.setattr(C, "TASK_ROWS", 100, raising=False)
+    executions = spark.createDataFrame([(f"s{i}", f"c{i}", "A01", "48_59mo") for i in range(100)], "segment_id string, child string, action string, age string")
+    catalog = spark.createDataFrame([("A01", "48_59mo", f"r{i}", f"k{i}", i + 1, i == 0) for i in range(20)], "action string, age string, segment_id string, child string, rank int, is_primary boolean")
+    plan = C.planned(C.requests(executions, catalog), catalog)
+    per = [r["count"] for r in plan.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(per) == 2000 and max(per) < 400
