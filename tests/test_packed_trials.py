@@ -94,3 +94,26 @@ def test_select_k_and_policies(spark):
     assert (got["y"]["selected_k"], got["y"]["status"]) == (1, "insufficient_support")
     policies = {(r["g"], r["policy"]): r["selected_k"] for r in study.k_policies(curve, study.select_k(curve, ["g"]), ["g"]).collect()}
     assert len(policies) == 8 and policies["x", "adaptive_operational"] == 4 and policies["x", "cap_k3"] == 3
+
+
+def test_a_part_of_the_trials_is_the_same_as_in_the_whole():
+    m = P.Matrix(rows(20, 16))
+    whole = pd.concat(P.matrix_trials(m, "p", [1, 2, 3], [3, 5], 4, 3, 7))
+    part = pd.concat(P.matrix_trials(m, "p", [1, 2, 3], [], 4, 3, 7, "primary_h3"))
+    same = whole[(whole["scheme"] == "primary_h3") & (whole["n_children"] == whole["maximum"])]
+    pd.testing.assert_frame_equal(part.reset_index(drop=True), same.reset_index(drop=True))
+    two = pd.concat(P.matrix_trials(m, "p", [2], [3, 5], 4, 3, 7))
+    pd.testing.assert_frame_equal(two.reset_index(drop=True), whole[whole["k"] == 2].reset_index(drop=True))
+    assert set(whole["scheme"]) == {"primary_h3", "secondary_h20"} and len(whole) == 4 * 3 * 6
+
+
+def test_all_trials_of_a_k_are_refined_at_once(monkeypatch):
+    calls, keep = [], P._refined
+    monkeypatch.setattr(P, "_refined", lambda m, train, *rest: calls.append(len(train)) or keep(m, train, *rest))
+    m = P.Matrix(rows(20, 16))
+    found = pd.concat(P.matrix_trials(m, "p", [1, 2], [3, 5], 4, 3, 7))
+    assert calls == [24, 24] and len(found) == 48
+    monkeypatch.setattr(P, "MOST_CELLS", 500)
+    small = pd.concat(P.matrix_trials(m, "p", [1, 2], [3, 5], 4, 3, 7))
+    by = ["scheme", "n_children", "k", "repetition"]
+    pd.testing.assert_frame_equal(small.sort_values(by).reset_index(drop=True), found.sort_values(by).reset_index(drop=True))
