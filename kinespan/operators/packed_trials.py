@@ -8,6 +8,7 @@ arrays whose first axis is the repetition. Matrices of more than MOST_CLIPS clip
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from itertools import permutations
 from zlib import crc32
 
@@ -17,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kinespan.operators.resampling import GRID, HELD_OUT, REPETITIONS, SEED
-from kinespan.operators.templates import RELATIVE, SUPPORT_LEAST, SUPPORT_SHARE, TOLERANCE
+from kinespan.operators.templates import RELATIVE, SUPPORT_LEAST, SUPPORT_SHARE, TOLERANCE, random_templates
 from kinespan.workspace import spread, written
 
 #: Clips of a matrix that one task packs at most.
@@ -91,14 +92,14 @@ def _random(m: Matrix, train: np.ndarray, k: int, starts: int, rng: np.random.Ge
     return found
 
 
-def _best(m: Matrix, train: np.ndarray, begun: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+def _best(m: Matrix, train: np.ndarray, begun: list[np.ndarray], by_ids: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """Objectives and sets of the best of several sets [trial, slot] of every trial, all refined at once."""
     step = max(1, MOST_CELLS // (len(begun) * begun[0].shape[1] * len(m.ids)))
     if len(train) > step:
-        parts = [_best(m, train[at : at + step], [x[at : at + step] for x in begun]) for at in range(0, len(train), step)]
+        parts = [_best(m, train[at : at + step], [x[at : at + step] for x in begun], by_ids) for at in range(0, len(train), step)]
         return np.concatenate([x for x, _ in parts]), np.concatenate([x for _, x in parts])
     t = np.arange(len(train))
-    sets, values = _refined(m, train, np.tile(t, len(begun)), np.concatenate(begun))
+    sets, values = _refined(m, train, np.tile(t, len(begun)), np.concatenate(begun), by_ids)
     sets, values = sets.reshape(len(begun), len(train), -1), values.reshape(len(begun), -1)
     best, value = sets[0], values[0]
     for other, worth in zip(sets[1:], values[1:]):
@@ -136,9 +137,10 @@ def _greedy(m: Matrix, train: np.ndarray, k: int) -> np.ndarray:
     return np.stack(picks, axis=1)
 
 
-def _refined(m: Matrix, train: np.ndarray, of: np.ndarray, sets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _refined(m: Matrix, train: np.ndarray, of: np.ndarray, sets: np.ndarray, by_ids: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """`sets` [set, slot] of the trials `of`, sorted, after the swaps of one template that lower each objective most, until none does, and the objectives.
 
+    Of swaps that are worth the same the first slot's first clip is taken, or with `by_ids` that whose set comes first.
     A set that comes to where one of the same trial has been ends where that one ends, so it is not followed.
     """
     sets = np.sort(sets, axis=1)
@@ -172,6 +174,10 @@ def _refined(m: Matrix, train: np.ndarray, of: np.ndarray, sets: np.ndarray) ->
         clip = proposals.argmin(axis=0)
         worth = np.take_along_axis(proposals, clip[None], axis=0)[0]
         slot = worth.argmin(axis=0)
+        for i in g if by_ids else ():
+            c, s = np.nonzero(proposals[:, :, i] == worth[slot[i], i])
+            x = min(range(len(c)), key=lambda x: np.sort(np.where(np.arange(k) == s[x], c[x], own[i])).tolist())
+            slot[i], clip[s[x], i] = s[x], c[x]
         own[g, slot] = clip[slot, g]
         fresh = _objectives(m, mine.T, own)
         # equal objectives may round differently, so what counts is the new set's own
@@ -448,6 +454,28 @@ def trials(
     return _of_matrices(distances, keys, TRIAL, lambda m, name: matrix_trials(m, name, ks, grid, repetitions, starts, seed, only))
 
 
+def solved_templates(distances: DataFrame, keys: list[str], k: int, starts: int = 5, seed: int = SEED) -> DataFrame:
+    """`templates.solved_templates` with `objective`, of matrices that a task packs, from their distances: the same starts, swaps and ties."""
+    clips = distances.select(*keys, "candidate", "candidate_child").distinct()
+    runs = [random_templates(clips, keys, k, seed + 1000 * s).select(*keys, "candidate", F.lit(s).alias("start")) for s in range(1, starts)]
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in distances.schema.fields if f.name in keys)
+
+    def run(rows: pd.DataFrame, begun: pd.DataFrame) -> pd.DataFrame:
+        m = Matrix(rows)
+        everyone, n, at = np.ones((1, len(m.children)), bool), min(k, len(m.children)), {s: i for i, s in enumerate(m.ids)}
+        of_start = [np.array([[at[c] for c in x]]) for _, x in begun.groupby("start")["candidate"]]
+        value, sets = _best(m, everyone, [_greedy(m, everyone, n), *of_start], by_ids=True)
+        found = pd.DataFrame({"slot": np.arange(n), "candidate": [m.ids[i] for i in sets[0]], "candidate_child": [m.children[m.origin[i]] for i in sets[0]], "objective": value[0]})
+        for c in keys:
+            found[c] = rows[c].iloc[0]
+        return found[[*keys, "slot", "candidate", "candidate_child", "objective"]]
+
+    needed, n = distances.select(*keys, "segment_id", "child", "candidate", "distance"), clips.select(*keys).distinct().count()
+    begun = reduce(DataFrame.unionByName, runs) if runs else clips.select(*keys, "candidate", F.lit(0).alias("start")).where("false")
+    both = [spread(df, keys, n).groupBy(*keys) for df in (needed, begun)]
+    return both[0].cogroup(both[1]).applyInPandas(run, f"{kinds}, slot int, candidate string, candidate_child string, objective double")
+
+
 FULL = (
     "k int, slot int, segment_id string, child string, n_children int, n_clips int, objective double, loss_mean double, loss_median double, loss_p90 double, clip_loss double, n_assigned int, "
     "support_minimum int, support_ok boolean, assigned_children array<string>, own_loss_mean double, own_loss_median double, own_loss_p90 double, nearest_other double, between double, within double"

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kinespan.operators import packed_trials
 from kinespan.operators import templates as T
 from kinespan.plans import views
 from kinespan.plans.groups import _shown, _up
@@ -54,9 +55,13 @@ def pmedian_greedy2(spark: SparkSession, folder: str) -> DataFrame:
 
 def pmedian_k3(spark: SparkSession, folder: str) -> DataFrame:
     """Three templates of every matrix, over all its clips: greedy and four random starts, refined by swaps."""
-    cost = written(T.filled_costs(T.cost_matrix(_distances(spark, folder, complete=False), PART), PART), "cost")
-    found = T.solved_templates(cost, PART, 3)
-    return found.join(T.objectives(cost, found, PART).drop("ids"), "part").withColumn("objective", _shown("objective"))
+    small, large = packed_trials.packed_matrices(_distances(spark, folder, complete=False), PART)
+    found = packed_trials.solved_templates(small, PART, 3)
+    if not large.isEmpty():
+        cost = written(T.filled_costs(T.cost_matrix(large, PART), PART), "cost")
+        long = T.solved_templates(cost, PART, 3)
+        found = found.unionByName(long.join(T.objectives(cost, long, PART).drop("ids"), "part"))
+    return found.withColumn("objective", _shown("objective"))
 
 
 def _two(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:

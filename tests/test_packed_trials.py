@@ -117,3 +117,16 @@ def test_all_trials_of_a_k_are_refined_at_once(monkeypatch):
     small = pd.concat(P.matrix_trials(m, "p", [1, 2], [3, 5], 4, 3, 7))
     by = ["scheme", "n_children", "k", "repetition"]
     pd.testing.assert_frame_equal(small.sort_values(by).reset_index(drop=True), found.sort_values(by).reset_index(drop=True))
+
+
+def test_packed_templates_are_those_of_the_long_form(spark):
+    """With equal distances, so that ties are settled alike, and a matrix with fewer children than templates."""
+    parts = [rows(15, 8, 0.1, s).assign(part=f"p{s}") for s in range(3)] + [rows(4, 2, 0.0).assign(part="few")]
+    df = spark.createDataFrame(pd.concat(parts).assign(distance=lambda x: x["distance"].round(1)))
+    cost = T.filled_costs(T.cost_matrix(df, ["part"]), ["part"]).cache()
+    long = T.solved_templates(cost, ["part"], 3)
+    got = P.solved_templates(df, ["part"], 3)
+    line = ["part", "slot", "candidate", "candidate_child"]
+    assert sorted(map(tuple, got.select(*line).collect())) == sorted(map(tuple, long.select(*line).collect()))
+    worth = {r["part"]: r["objective"] for r in T.objectives(cost, long, ["part"]).collect()}
+    assert all(r["objective"] == pytest.approx(worth[r["part"]]) for r in got.collect())
