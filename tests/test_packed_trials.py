@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from kinespan.operators import packed_trials as P
 from kinespan.operators import resampling, study
 from kinespan.operators import templates as T
+from kinespan.plans import study as plans
 
 
 def rows(n=14, children=9, missing=0.05, seed=1):
@@ -130,3 +131,48 @@ def test_packed_templates_are_those_of_the_long_form(spark):
     assert sorted(map(tuple, got.select(*line).collect())) == sorted(map(tuple, long.select(*line).collect()))
     worth = {r["part"]: r["objective"] for r in T.objectives(cost, long, ["part"]).collect()}
     assert all(r["objective"] == pytest.approx(worth[r["part"]]) for r in got.collect())
+
+
+def test_curves_in_tasks_are_those_of_the_trials(spark):
+    """Also where a number is unknown in some or all trials, and with one matrix that has too few children for the second scheme."""
+    numbers = ["holdout_loss", "margin", "match_mean_between", "gain_vs_previous_k", "gain_per_child_normalized", "reduction_vs_k1"]
+    df = spark.createDataFrame(pd.concat([rows(20, 16, 0.2).assign(part="a"), rows(9, 6, 0.0).assign(part="b")]))
+    found = resampling.paired_gains(P.trials(df, ["part"], [1, 2, 4], [3, 5], 4, 3), ["part"])
+    found = found.withColumn("gain_per_child_normalized", F.col("gain_per_child") / F.when(F.col("between") > 0, F.col("between"))).withColumn("set_id", F.array_join("ids", "|"))
+    by = ["part", "scheme", "n_children", "maximum", "k"]
+    more = found.groupBy(*by).agg(F.percentile(F.abs("gain_per_child_normalized"), F.lit(0.5)).alias("marginal"), F.first("between").alias("between"), F.avg("jaccard").alias("jaccard_mean"), F.avg("near_overlap").alias("near_overlap_mean"))
+    wanted = study.curves(found, by, numbers, ["support_ok", "exact_match"], "set_id").join(more, by).toPandas().sort_values(by).reset_index(drop=True)
+    got = P.curves(df, ["part"], numbers, [1, 2, 4], [3, 5], 4, 3).toPandas().sort_values(by).reset_index(drop=True)
+    assert len(got) == 18 and got["margin_mean"].isna().any() and got["gain_vs_previous_k_mean"].notna().any()
+    pd.testing.assert_frame_equal(got, wanted[got.columns], check_dtype=False, atol=1e-12)
+
+
+def test_selected_clips_are_those_of_the_trials(spark):
+    df = spark.createDataFrame(rows(20, 16).assign(part="a"))
+    by = ["part", "scheme", "n_children", "k"]
+    wanted = study.selection_frequency(P.trials(df, ["part"], [1, 3], [3, 5], 4, 3), by, df.select("part", "segment_id").distinct(), ["part"])
+    got = P.selected(df, ["part"], [1, 3], [3, 5], 4, 3)
+    assert got.count() == 12 * 20 and sorted(map(tuple, got.collect())) == sorted(map(tuple, wanted.select(*got.columns).collect()))
+
+
+def test_a_matrix_in_files_gives_the_same_trials(monkeypatch):
+    """Read a few rows at a time, in any order, with its pairs and arrays in files."""
+    long = rows(20, 16, 0.1)
+    pairs = long[long["segment_id"] < long["candidate"]].rename(columns={"segment_id": "a", "candidate": "b"})[["a", "b", "distance"]]
+    named = long[["segment_id", "child"]].drop_duplicates().rename(columns={"segment_id": "a", "child": "b"}).assign(distance=np.nan)
+    mixed = pd.concat([pairs, named]).sample(frac=1.0, random_state=3)
+    wanted = pd.concat(P.matrix_trials(P.Matrix(long), "p", [1, 2, 3], [3, 5], 4, 3, 7))
+    monkeypatch.setattr(P, "MOST_BYTES", 100)
+    m = P.Matrix.streamed(mixed[at : at + 7] for at in range(0, len(mixed), 7))
+    assert isinstance(m.known.base, np.memmap) and isinstance(m.cost.base, np.memmap)
+    pd.testing.assert_frame_equal(pd.concat(P.matrix_trials(m, "p", [1, 2, 3], [3, 5], 4, 3, 7)), wanted)
+
+
+@pytest.mark.parametrize("query", ["study_template_catalog"])
+def test_queries_do_not_depend_on_the_size_of_a_matrix(spark, monkeypatch, query):
+    monkeypatch.setattr(plans, "KS", [1, 2])
+    monkeypatch.setattr(plans, "REPETITIONS", 2)
+    rows = lambda: sorted(map(str, plans.QUERIES[query](spark, "/root/testdata/sf0.001").collect()))
+    wanted = rows()
+    monkeypatch.setattr(P, "MOST_CLIPS", 4)
+    assert wanted and rows() == wanted
