@@ -109,3 +109,13 @@ def test_a_hot_group_is_planned_in_many_tasks(spark, monkeypatch):
     plan = C.planned(C.requests(executions, catalog), catalog)
     per = [r["count"] for r in plan.groupBy(F.spark_partition_id()).count().collect()]
     assert sum(per) == 2000 and max(per) < 400
+
+
+def test_plan_meets_references_a_block_at_a_time(spark):
+    """Every request with every reference of its group, and all requests of a group with one block before the next, so that rows repeat closely."""
+    catalog = spark.range(600).selectExpr("'A1' AS action", "'36_47mo' AS age", "printf('r%03d', id) AS segment_id", "'c' AS child", "1 AS rank", "id = 0 AS is_primary")
+    asked = spark.range(10).selectExpr("printf('s%d', id) AS segment_id", "'k' AS child", "'A1' AS action", "'36_47mo' AS age", "0 AS age_offset", "'36_47mo' AS target_age", "600L AS n_references", "'solicitada' AS state")
+    got = [(r["segment_id"], r["reference_id"]) for r in C.planned(asked, catalog).collect()]
+    assert sorted(got) == [(f"s{i}", f"r{j:03d}") for i in range(10) for j in range(600)]
+    first = got[: 10 * C.BLOCK]
+    assert len({s for s, _ in first}) == 10 and len({r for _, r in first}) == C.BLOCK
