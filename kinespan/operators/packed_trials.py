@@ -528,8 +528,8 @@ def _of_matrices(distances: DataFrame, keys: list[str], schema: str, work) -> Da
         for out in work(Matrix.streamed(chain([first], batches)), "|".join(map(str, key.values()))):
             yield out.reindex(columns=columns).assign(**key)[[*keys, *columns]]
 
-    rows = matrix_rows(distances, keys)
-    return spread(rows, keys, rows.select(*keys).distinct().count()).groupBy(*keys).applyInPandas(run, f"{kinds}, {schema}")
+    rows, known = matrix_rows(distances, keys), getattr(distances, "_n_matrices", None)
+    return spread(rows, keys, rows.select(*keys).distinct().count() if known is None else known).groupBy(*keys).applyInPandas(run, f"{kinds}, {schema}")
 
 
 def packed_matrices(distances: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:

@@ -47,11 +47,15 @@ def resampling_sizes(spark: SparkSession, folder: str) -> DataFrame:
 def _matrices(spark: SparkSession, folder: str) -> DataFrame:
     """The stored matrices as tasks read them (`packed_trials.matrix_rows`), whole and with every clip: each pair once, each clip with its child."""
     stored = table(spark, folder, "dtw_pairwise").where("part IS NOT NULL")
-    pairs = usable_pairs(spread(stored, PART, stored.select(*PART).distinct().count()), PART).select("part", F.col("segment_id_a").alias("a"), F.col("segment_id_b").alias("b"), "distance")
+    n = stored.select(*PART).distinct().count()
+    pairs = usable_pairs(spread(stored, PART, n), PART).select("part", F.col("segment_id_a").alias("a"), F.col("segment_id_b").alias("b"), "distance")
     a, b = F.trim("segment_id_a"), F.trim("segment_id_b")
     ends = stored.where(usable(F.col("distance")) & (a != b)).select("part", F.explode(F.array(a, b)).alias("segment_id")).distinct()
     clips = ends.join(views.training_children(spark, folder), "segment_id", "left")
-    return pairs.unionByName(packed_trials.named_clips(clips.withColumn("child", F.coalesce("child", F.concat(F.lit("desconocido::"), F.col("segment_id")))), PART))
+    clips = clips.withColumn("child", F.coalesce("child", F.concat(F.lit("desconocido::"), F.col("segment_id"))))
+    found = pairs.unionByName(packed_trials.named_clips(clips, PART))
+    found._n_matrices = n  # so that the pairs are not read again to count them
+    return found
 
 
 def _curve(spark: SparkSession, folder: str, numbers: list[str] = METRICS, only: str | None = None, largest: bool = False) -> DataFrame:
