@@ -168,7 +168,7 @@ def test_a_matrix_in_files_gives_the_same_trials(monkeypatch):
     pd.testing.assert_frame_equal(pd.concat(P.matrix_trials(m, "p", [1, 2, 3], [3, 5], 4, 3, 7)), wanted)
 
 
-@pytest.mark.parametrize("query", ["study_template_catalog", "study_trial_curves", "study_trial_k", "study_trial_n", "study_trial_policies"])
+@pytest.mark.parametrize("query", ["study_template_catalog", "study_trial_curves", "study_trial_k", "study_trial_n", "study_trial_policies", "study_trials"])
 def test_queries_do_not_depend_on_the_size_of_a_matrix(spark, monkeypatch, query):
     monkeypatch.setattr(plans, "KS", [1, 2])
     monkeypatch.setattr(plans, "REPETITIONS", 2)
